@@ -5,17 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import avi, fingerprints, mixing, packing, secrets, simhash
 from .common import table
 
 
+def word_bpe() -> str:
+    """Where the box keeps the public word-BPE tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.features(table(spark, sf_dir, "documents"))
+
+
+def repository():
+    """A source's documents of one language are taken for a repository, the source for its owner."""
+    return F.concat_ws("/", F.col("source"), F.col("lang"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents"), repository=repository()))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_avi_media": op4_avi_media,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_packing": op7_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
