@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..schema import LABELS, SCORED, SPAN
 from . import labels as L
 
+NO_SPANS = f"array<{SPAN}>"
+
 
 def gold_spans(annotations: Column) -> Column:
     """Annotations as evaluated: weight by band unless given, in scope by weight unless told, critical by band unless told."""
@@ -25,10 +27,7 @@ def gold_spans(annotations: Column) -> Column:
             F.coalesce(a["critical_for_pcr"], L.is_critical(a["risk_band"])).alias("critical"),
         )
 
-    return F.transform(F.coalesce(annotations, F.array().cast(f"array<struct<{_ANNOTATION}>>")), one)
-
-
-_ANNOTATION = "start:int,end:int,label:string,risk_band:string,weight:double,pcr_weight:double,pcr_in_scope:boolean,critical_for_pcr:boolean,fine_labels:array<string>"
+    return F.coalesce(F.transform(annotations, one), F.array().cast(NO_SPANS))
 
 
 def source_gold_spans(annotations: Column) -> Column:
@@ -137,6 +136,3 @@ def above_floor(spans: Column, floors: Mapping[str, float]) -> Column:
 def bare(spans: Column) -> Column:
     """Spans without scores."""
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
-
-
-NO_SPANS = f"array<{SPAN}>"

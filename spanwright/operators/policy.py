@@ -28,7 +28,7 @@ def sample_metrics(rows: DataFrame, coverage: float = COVERAGE, critical: float
     """``rows`` of :func:`evaluated` with all metrics of a sample; no shuffle."""
     gold, told = F.col("gold"), F.col("predicted")
     rows = rows.withColumn("matched", S.matches(gold, told, tolerance)).withColumn("text_len", F.length(F.coalesce("text", F.lit(""))))
-    places = {n: F.transform("matched", lambda m, n=n: m[n]) for n in "gp"}
+    places = {"g": F.transform("matched", lambda m: m["g"]), "p": F.transform("matched", lambda m: m["p"])}
     urgent = F.filter(gold, lambda s: F.coalesce(s["critical"], F.lit(False)))
     met = F.filter(places["g"], lambda k: F.coalesce(F.get(gold, k)["critical"], F.lit(False)))
     chars = S.confusion(gold, told, F.col("text_len"))
