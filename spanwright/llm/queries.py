@@ -82,4 +82,4 @@ QUERIES = {
     "op10_warc_index": op10_warc_index,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quote_threads": quotes.ORACLE, "op3_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quote_threads": quotes.ORACLE, "op3_mixing": mixing.ORACLE, "op5_secret_scan": secrets.ORACLE, "op10_warc_index": warc.ORACLE}

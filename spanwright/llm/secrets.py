@@ -136,3 +136,38 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     covered = F.aggregate(F.coalesce("live", F.array().cast("array<struct<start:int,nth:int,end:int>>")), own, lambda t, s: F.overlay(t, F.repeat(F.lit(mask), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
     hit = hit.select(F.col("_row").withField(text, covered).alias("_row"))
     return rows.where("not _maybe").select("_row").unionByName(hit).select("_row.*")
+
+
+def _spans_sql(nth: int, pattern: str, group: int) -> str:
+    """Matches of one kind: gaps between them and their lengths give the places."""
+    p = pattern.replace("'", "''")
+    return f"""
+  select rid, {nth} as nth, i, m[i] as m, v[i] as v,
+         coalesce(list_sum(list_transform(gaps[:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) as start
+  from (select rid, unnest(range(1, len(m) + 1)) as i, gaps, m, v from (
+    select rid, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {group}) as v
+    from d where regexp_matches(t, '{p}')))"""
+
+
+ORACLE = f"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(source, '') as owner, coalesce(text, '') as t from documents),
+found as (
+  select rid, nth, start, start + len(m) as stop, start + len(m) - len(v) as vstart, v from ({" union all ".join(_spans_sql(n, p, g) for n, (_, p, g) in enumerate(KINDS))})
+  where nth <> 0 or len(v) >= 6),
+own as (select v, count(distinct owner) as owners from found join d using (rid) group by 1),
+live as (
+  select distinct rid, 4 as nth, vstart as start, stop from found join own using (v)
+  where owners = 1 and len(v) >= 20 and len(list_distinct(string_split(v, ''))) >= 8 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+    and not regexp_matches(v, '{PLACEHOLDER}')),
+spans as (select rid, nth, start, stop from found union all select rid, nth, start, stop from live),
+named as (select *, {list(NAMES)}[nth + 1] || ':' || start || ':' || stop as shown from spans),
+by_row as (
+  select rid, count(*) filter (nth = 0) as a, count(*) filter (nth = 1) as c, count(*) filter (nth = 2) as h, count(*) filter (nth = 4) as l,
+         string_agg(shown, ',' order by start, nth) filter (nth < 3) as base, string_agg(shown, ',' order by start, nth, stop) as every
+  from named group by 1),
+copied as (select rid, count(*) as n from found join own using (v) where owners >= 3 group by 1)
+select doc_id, coalesce(a, 0)::bigint as n_assign, coalesce(c, 0)::bigint as n_access, coalesce(h, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans, coalesce(l, 0)::bigint as n_live, coalesce(n, 0)::bigint as n_copied
+from d left join by_row using (rid) left join copied using (rid)
+"""

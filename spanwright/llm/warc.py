@@ -226,3 +226,13 @@ def look_up(spark: SparkSession, folder: str, directory: DataFrame, urls: list[s
                 _, _, f, o, n = line.split("\t")
                 found[u].append(parse_record(files.unzip(f, int(o), int(n))))
     return found
+
+
+ORACLE = f"""
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (
+  select *, case when payload_bytes >= {LEAST} then min(page_id) over (partition by payload_digest) end as first from p),
+r as (select *, case when page_id is distinct from first then first end as refers_to from f)
+select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from r
+"""
