@@ -17,7 +17,8 @@ from .operators import splits as D
 from .operators import tagging as T
 from .operators import validation as V
 from .operators.anchor import threshold_grid
-from .schema import ANCHOR_THRESHOLDS, CRITICAL_LABELS, EXPERTS, LABELS, TAGS, TRIM_CHARACTERS
+from .schema import ANCHOR_THRESHOLDS, CRITICAL_LABELS, EXPERTS, LABELS, SAMPLE, TAGS, TRIM_CHARACTERS
+from .sources import jsonl, sinks
 
 #: Curricula with quotas small enough to bind on small tables.
 SMALL = {
@@ -581,6 +582,16 @@ def span_validity(spark, sf_dir):
     return rows.select(name.alias("label"), "risk_band", fits.alias("fits")).groupBy("label", "risk_band").agg(F.count(F.lit(1)).alias("n"), F.count_if("fits").alias("valid"))
 
 
+@query("select s.sample_id, len(text)::bigint as text_len, count(a.start)::bigint as n, coalesce(sum(a.weight), 0)::double as weight from samples s left join ann a using (sample_id) group by all")
+def jsonl_round_trip(spark, sf_dir):
+    """Annotated samples as JSON lines, written in parallel and read back by the strict scan."""
+    folder = sinks.scratch(spark, "samples")
+    X.annotated(spark, sf_dir).select("sample_id", "text", "pii_annotations").write.option("ignoreNullFields", False).json(folder)
+    read = jsonl.strict(spark, folder, SAMPLE, pattern="*.json")
+    weight = F.aggregate("pii_annotations", F.lit(0.0), lambda t, a: t + F.coalesce(a["weight"], F.lit(0.0)))
+    return read.select("sample_id", F.length("text").alias("text_len"), F.size("pii_annotations").alias("n"), weight.alias("weight"))
+
+
 @query(f"select unnest(range({len(TAGS)}))::bigint as label_id, unnest({list(TAGS)}) as tag")
 def bio_tags(spark, sf_dir):
     return T.tag_table(spark)

@@ -1 +1 @@
-
+"""Scans and writers."""

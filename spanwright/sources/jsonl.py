@@ -15,14 +15,14 @@ from ..functions import spans as S
 from ..schema import ANNOTATION, SAMPLE
 
 
-def lines(spark: SparkSession, path: str, names: Iterable[str] = ()) -> DataFrame:
-    """(file, line, value) of a file's or folder's *.jsonl lines; ``line`` counts from 0, blank lines too.
+def lines(spark: SparkSession, path: str, names: Iterable[str] = (), pattern: str = "*.jsonl") -> DataFrame:
+    """(file, line, value) of a file's lines, or of those files of a folder that fit ``pattern``; ``line`` counts from 0, blank lines too.
 
     Spark splits large files. Lines are numbered within their split as they are read, and the
     splits' line counts, a row for each, give where a split begins in its file.
     """
     read = spark.read.option("recursiveFileLookup", True)
-    read = read if path.endswith(".jsonl") else read.option("pathGlobFilter", "*.jsonl")
+    read = read if path.endswith(pattern.lstrip("*")) else read.option("pathGlobFilter", pattern)
     rows = read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     wanted = sorted(names)
     if wanted:
@@ -41,12 +41,12 @@ def parse_split_names(raw: str) -> set[str]:
     return {name for name in map(str.strip, str(raw).split(",")) if name}
 
 
-def strict(spark: SparkSession, path: str, schema: T.StructType, columns: Iterable[str] = ()) -> DataFrame:
+def strict(spark: SparkSession, path: str, schema: T.StructType, columns: Iterable[str] = (), pattern: str = "*.jsonl") -> DataFrame:
     """(row_idx, columns of ``schema``, raw) of a file in which every line must be a JSON object; others raise with their number.
 
     ``row_idx`` counts from 0.
     """
-    rows = lines(spark, path)
+    rows = lines(spark, path, pattern=pattern)
     number = (F.col("line") + 1).cast("string")
     blank = F.regexp_replace("value", r"[\s\x1c-\x1f\x85]+", "") == ""
     kind = F.try_parse_json("value")

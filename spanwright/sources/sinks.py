@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,12 @@ def write_report(spark: SparkSession, path: str, report: dict, sort_keys: bool =
         raise OSError(f"can't rename to {path}")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share one: under spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_by(rows: DataFrame, folder: str, column: str) -> None:
     """Several outputs in one pass: a folder of JSON lines for each value of ``column``."""
     rows.write.partitionBy(column).json(folder)
