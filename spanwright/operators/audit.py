@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import spans as S
 from ..functions.labels import source_prefix
 from ..schema import EXPERTS
 from .policy import evaluated, sample_metrics
@@ -37,23 +38,22 @@ def details(gold: DataFrame, predictions: Mapping[str, DataFrame], **policy) ->
 
 
 def _positive(rows: DataFrame) -> DataFrame:
-    from ..functions import spans as S
-
     return rows.withColumn("gold", S.positive(F.col("gold"))).withColumn("predicted", S.positive(S.prediction_spans(F.col("pred_spans")))).drop("pred_spans")
 
 
 def audit(rows: DataFrame) -> DataFrame:
     """(source, expert, split, rows, passes, pcr, coverage, critical, fp_rate) from details with a ``split``; split ``all`` holds both."""
     named = rows.withColumn("source", source_prefix(F.col("sample_id")))
-    named.createOrReplaceTempView("_audit_details")
-    return named.sparkSession.sql(
-        """
-        select source, expert, if(grouping(split) = 1, 'all', split) as split, count(*) as rows, count_if(policy_pass) as passes,
-               avg(cast(policy_pass as double)) as pcr, avg(weighted_pii_coverage) as coverage,
-               avg(critical_coverage) as critical, avg(fp_char_rate) as fp_rate
-        from _audit_details group by grouping sets ((source, expert, split), (source, expert))
-        """
+    sums = named.groupingSets([["source", "expert", "split"], ["source", "expert"]], "source", "expert", "split").agg(
+        F.grouping("split").alias("all"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("policy_pass").alias("passes"),
+        F.avg(F.col("policy_pass").cast("double")).alias("pcr"),
+        F.avg("weighted_pii_coverage").alias("coverage"),
+        F.avg("critical_coverage").alias("critical"),
+        F.avg("fp_char_rate").alias("fp_rate"),
     )
+    return sums.withColumn("split", F.when(F.col("all") == 1, "all").otherwise(F.col("split"))).drop("all")
 
 
 def routes(audited: DataFrame, anchor: str = EXPERTS[0], order: Sequence[str] = EXPERTS[1:]) -> DataFrame:

@@ -564,14 +564,12 @@ def validate_counters(spark, sf_dir):
     select w.sample_id, w.expert, count(p.start)::bigint as n from w left join pred p on p.sample_id = w.sample_id and p.expert = w.expert group by all"""
 )
 def last_wins_predictions(spark, sf_dir):
-    from .sources.jsonl import last_wins
-
     rows = None
     for k, (e, p) in enumerate(X.all_predictions(spark, sf_dir).items()):
         own = p.withColumns({"expert": F.lit(e), "row_idx": F.lit(k)})
         own = own.where(F.substring_index("sample_id", ":", -1).cast("bigint") % 3 != 0) if e == "precision" else own
         rows = own if rows is None else rows.unionByName(own)
-    return last_wins(rows).select("sample_id", "expert", F.size("pred_spans").alias("n"))
+    return jsonl.last_wins(rows).select("sample_id", "expert", F.size("pred_spans").alias("n"))
 
 
 @query("""select label, risk_band, count(*)::bigint as n, count(*) filter ("end" - start >= 9 and name <> 'CONTEXT_MISC' and name <> 'SOMETHING_ELSE')::bigint as valid from (select a.*, a.name as label from (select * exclude (label) from ann) a) group by all""")
