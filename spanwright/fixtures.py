@@ -27,8 +27,14 @@ DROPPED = {"anchor": "01", "coverage": "0", "precision": "012"}
 _MARK = "\x01"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than cores, dealt to all of them; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
     return docs.select(F.concat_ws(":", "source", "lang", F.col("doc_id").cast("string")).alias("sample_id"), "source", F.coalesce("text", F.lit("")).alias("text"))
 
 
