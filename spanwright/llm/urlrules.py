@@ -7,8 +7,9 @@ the ones that a more general rule covers as well, are the rules. Each rule is po
 rarest token, so that a page meets only the rules that one of its tokens leads to; a
 rule fits if the page has all its tokens.
 
-The model is bounded: it is mined over the ``ITEMS`` tokens that tell most about the label (so
-2^ITEMS combinations at worst) and keeps ``RULES`` rules; both are applied to every page.
+The model is mined over every token that a rule can hold, those that stand in enough blocked
+pages to meet the support by themselves, and no rule but the redundant ones is left out. Tokens
+that always occur together are mined as one, and written out in the rules again.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no token, and
 is allowed; repeated rows each get a row; without labelled pages no rule is mined; other
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-ITEMS, RULES = 14, 500
 SUPPORT, CONFIDENCE = 0.005, 0.8
 _BLOCK = "!block"
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,31 +79,40 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(found)
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, items: int = ITEMS, most: int = RULES) -> list[tuple[list[str], float, float]]:
-    """(tokens by falling rarity, confidence, support) of the rules from ``labelled`` (tokens, blocked)."""
-    counts = labelled.select(F.explode("tokens").alias("token"), F.col("blocked").cast("int").alias("b")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bad"))
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, items: int | None = None) -> list[tuple[list[str], float, float]]:
+    """(tokens by falling rarity, confidence, support) of the rules from ``labelled`` (tokens, blocked), over all tokens, or the ``items`` that tell most."""
     total, bad = labelled.agg(F.count(F.lit(1)), F.sum(F.col("blocked").cast("int"))).first()
     if not total or not bad:
         return []
+    held = labelled.select(F.explode("tokens").alias("token"), F.col("blocked").cast("int").alias("b"), F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(1), "tokens").alias("y"))
+    # Equal baskets hold the same tokens, so sums of basket hashes are equal just for tokens that always occur together.
+    sums = (F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "xy")
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bad"), *sums)
     rate = bad / total
     telling = F.pow(F.col("bad") - F.col("n") * rate, 2) / F.col("n")
-    chosen = [r.token for r in counts.where(F.col("n") >= max(1.0, support * total)).orderBy(telling.desc(), "token").limit(items).collect()]
-    rarity = {r.token: r.n for r in counts.where(F.col("token").isin(chosen)).collect()}
-    baskets = labelled.select(F.array_intersect("tokens", F.array(*map(F.lit, chosen))).alias("items"), "blocked")
+    most = counts.where(F.col("n") >= max(1.0, support * total)) if items is None else counts.where(F.col("n") >= max(1.0, support * total)).orderBy(telling.desc(), "token").limit(items)
+    chosen = sorted((r for r in most.collect() if r.bad >= support * total), key=lambda r: r.token)
+    if not chosen:
+        return []
+    rarity, alike = {r.token: r.n for r in chosen}, {}
+    for r in chosen:
+        alike.setdefault((r.n, r.bad, r.x, r.y), []).append(r.token)
+    classes = {c[0]: c for c in alike.values()}
+    baskets = labelled.select(F.array_intersect("tokens", F.array(*map(F.lit, classes))).alias("items"), "blocked")
     baskets = baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(_BLOCK))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(settle(baskets, "baskets"))
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCK)))
-    found = found.orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), F.array_sort("antecedent")).limit(most).collect()
-    kept: list[tuple[frozenset, float, float]] = []
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCK))).select("antecedent", "confidence", "support").collect()
+    kept: dict[str, list[tuple[frozenset, float, float]]] = {}
     for r in sorted(found, key=lambda r: (len(r.antecedent), sorted(r.antecedent))):
         own = frozenset(r.antecedent)
-        if not any(k < own and c >= r.confidence for k, c, _ in kept):
-            kept.append((own, r.confidence, r.support))
-    return [(sorted(k, key=lambda t: (rarity[t], t)), c, s) for k, c, s in kept]
+        if not any(k < own and c >= r.confidence for t in own for k, c, _ in kept.get(t, ())):
+            kept.setdefault(min(own), []).append((own, r.confidence, r.support))
+    whole = ((own, c, s) for k, c, s in (rule for rules in kept.values() for rule in rules) for own in product(*(classes[t] for t in sorted(k))))
+    return [(sorted(k, key=lambda t: (rarity[t], t)), c, s) for k, c, s in whole]
 
 
 def match(rules: list[tuple[list[str], float, float]], found: Column) -> Column:
-    """The best confidence of the rules whose tokens are all in ``found``, null without one. The index is a constant of bounded size."""
+    """The best confidence of the rules whose tokens are all in ``found``, null without one. The index is a constant."""
     index: dict[str, list[dict]] = {}
     for tokens_, confidence, _ in rules:
         index.setdefault(tokens_[0], []).append({"t": tokens_, "c": confidence})

@@ -73,3 +73,20 @@ def test_mined_rules_block_like_urls(spark):
     assert got == {k: "block" if k % 4 == 0 else "allow" for k in range(400)}
     found = pages.select(tokens(F.lit("http://M.a-b.net/x/12/y.html?p=1&q#f")).alias("t")).first().t
     assert set(found) == {"h:m", "h:a-b", "h:net", "h:a", "h:b", "p:x", "p:#", "p:y", "e:html", "q:p", "q:q"}
+
+
+def test_no_token_or_rule_is_cut(spark):
+    r = random.Random(9)
+    rows = [([f"good{k % 20}", f"also{k % 20}"], False) for k in range(400)] + [([f"bad{k % 25}", f"twin{k % 25}", r.choice("xyz")], r.random() < 0.95) for k in range(1000)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    got = {frozenset(t): c for t, c, _ in mine(labelled, 0.005, 0.8)}
+    count = {t for ts, _ in rows for t in ts}
+    want = {}
+    for n in range(1, 4):
+        for own in {frozenset(c) for ts, _ in rows for c in combinations(sorted(ts), n)}:
+            cover = [b for ts, b in rows if own <= set(ts)]
+            if sum(cover) >= 0.005 * len(rows) and sum(cover) / len(cover) >= 0.8:
+                want[own] = sum(cover) / len(cover)
+    want = {k: c for k, c in want.items() if not any(o < k and d >= c for o, d in want.items())}
+    assert len(count) > 80 and {frozenset([f"bad{k}"]) for k in range(25)} <= want.keys()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
