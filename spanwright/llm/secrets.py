@@ -3,8 +3,9 @@
 Candidates are what the base patterns and a few well-known key formats match. Each
 candidate's value is hashed, and hashes are counted over the whole corpus by distinct
 repositories and owners. A value that many owners hold is a copied example; one that a
-single owner holds and that looks random is reported as a live credential. The base spans
-stay whatever the counts say.
+single owner holds and that looks random is reported as a live credential. Masking takes in
+more: every credential that too few owners hold to be an example, short assigned ones as well.
+The base spans stay whatever the counts say.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty; an empty
 text has no span; a null owner or repository counts as one owner or repository of its own;
@@ -89,16 +90,23 @@ def _random_looking(value: Column) -> Column:
     return (F.length(value) >= 20) & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
 
 
-def verdicts(scanned: DataFrame, widely: int = 3) -> DataFrame:
+def _credential(nth: Column, value: Column) -> Column:
+    """An assignment or a key format tells a credential of any length, unless it is a placeholder or a run of one or two characters; hex alone must look random."""
+    told = (F.size(F.array_distinct(F.split(value, ""))) >= 3) & ~value.rlike(PLACEHOLDER)
+    return F.when(nth == NAMES.index("hex"), _random_looking(value)).otherwise(told)
+
+
+def verdicts(scanned: DataFrame, widely: int = 3, masking: bool = False) -> DataFrame:
     """(text_hash, live, n_live, n_copied) by text with candidates.
 
     ``live`` holds the value spans of credentials that one owner alone holds and that look
-    random; ``n_copied`` counts candidates whose value ``widely`` owners or more hold.
+    random; for ``masking``, of all credentials that fewer than ``widely`` owners hold.
+    ``n_copied`` counts candidates whose value ``widely`` owners or more hold.
     """
     texts = scanned.where("text_hash is not null").groupBy("text_hash").agg(F.first("found").alias("found"))
     each = texts.select("text_hash", F.inline("found")).withColumn("value_hash", F.sha2("value", 256))
     judged = each.join(ownership(scanned), "value_hash")
-    live = (F.col("owners") == 1) & _random_looking(F.col("value"))
+    live = (F.col("owners") < widely) & _credential(F.col("nth"), F.col("value")) if masking else (F.col("owners") == 1) & _random_looking(F.col("value"))
     span = F.struct(F.col("vstart").alias("start"), F.lit(len(NAMES) - 1).alias("nth"), "end")
     by = judged.groupBy("text_hash").agg(F.collect_set(F.when(live, span)).alias("live"), F.count_if(F.col("owners") >= widely).alias("n_copied"))
     return by.select("text_hash", F.array_sort("live").alias("live"), F.size("live").cast("bigint").alias("n_live"), "n_copied")
@@ -126,9 +134,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: Column | None = None, widely: int = 3, mask: str = "*") -> DataFrame:
-    """``docs`` with every live credential masked in place, so that lengths and other spans hold; no row goes."""
+    """``docs`` with every credential that fewer than ``widely`` owners hold masked in place, so that lengths and other spans hold; no row goes."""
     repo = F.col(doc_id) if repository is None else repository
-    live = verdicts(settle(scan(docs, doc_id, text, owner, repo), "scanned"), widely).where("n_live > 0").select(F.col("text_hash").alias("_hash"), "live")
+    live = verdicts(settle(scan(docs, doc_id, text, owner, repo), "scanned"), widely, masking=True).where("n_live > 0").select(F.col("text_hash").alias("_hash"), "live")
     maybe = F.coalesce(F.col(text).rlike("|".join(f"(?:{p})" for p in (ASSIGN.replace("(?i)", "(?i:") + ")", ACCESS, HEX, KEY))), F.lit(False))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), maybe.alias("_maybe"))
     own = F.col("_row")[text]
