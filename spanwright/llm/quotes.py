@@ -1,8 +1,10 @@
 """Chat formatting by quotation linking, with DataFrame operations only.
 
 Lines that start with ``>`` marks are quotes of that depth. Quoted lines are normalised and
-hashed and looked up among the unquoted lines of earlier messages of the conversation;
-the message that most quoted characters of depth 1 come from is the one replied to. Quotes
+hashed and looked up among the unquoted lines of earlier messages of the conversation.
+Passages of quoted lines that no such line equals, because a mail client wrapped them anew or
+they are a part of a longer line, are looked up by shingles of ``WIDTH`` words, whatever the
+line breaks. The message that most quoted characters of depth 1 come from is the one replied to. Quotes
 and lines that announce them are taken out, and messages are ordered by replies: each
 follows the message it answers, in the order written.
 
@@ -27,6 +29,8 @@ _INTRO = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
 #: Turns are written with so many digits in reply paths, so that paths sort as their turns.
 _DIGITS = 19
 _NO_CONV, _NO_TURN = -(1 << 63), -1
+#: Words of a passage's shingles; a passage of fewer words, but LEAST, is one shingle.
+WIDTH, LEAST = 5, 3
 
 
 def _conv(column: Column) -> Column:
@@ -55,6 +59,41 @@ def lines(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", tex
     return rows.select("conv", "turn", "nth", "line", "depth", F.when(F.col("normal") != "", F.sha2("normal", 256)).alias("hash"), F.length("normal").alias("chars"))
 
 
+def _shingles(width: int) -> Column:
+    """(hash, chars) of the shingles of ``width`` words of column ``words``; chars are those of the words that no earlier shingle of it starts with."""
+    words = F.col("words")
+
+    def one(k: Column) -> Column:
+        text = F.array_join(F.slice(words, k, width), " ")
+        last = k == F.size(words) - width + 1
+        return F.struct(F.xxhash64(F.lit(width), text).alias("hash"), F.when(last, F.length(text)).otherwise(F.length(F.element_at(words, k))).cast("bigint").alias("chars"))
+
+    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1))
+    return F.coalesce(F.transform(starts, one), F.array().cast("array<struct<hash:bigint,chars:bigint>>"))
+
+
+def _words() -> Column:
+    """The words of a group's lines (nth, line) in order, whatever the line breaks."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: normal(x["line"])), " ")
+    return F.filter(F.split(text, " "), lambda w: w != "").alias("words")
+
+
+def rewrapped(seen: DataFrame, lost: DataFrame) -> DataFrame:
+    """(conv, turn, origin, chars): earlier messages that passages of the quoted lines ``lost`` (conv, turn, hash) come from.
+
+    A passage is a run of lost lines of depth 1 of one message; a shingle's original is its first unquoted use.
+    """
+    mine = seen.join(lost.select("conv", "turn").distinct(), ["conv", "turn"], "left_semi")
+    told = mine.join(lost.withColumn("lost", F.lit(True)), ["conv", "turn", "hash"], "left").withColumn("quoted", (F.col("depth") == 1) & (F.col("hash").isNull() | F.col("lost").isNotNull()))
+    run = F.count_if(~F.col("quoted")).over(Window.partitionBy("conv", "turn").orderBy("nth", "line"))
+    passages = told.withColumn("run", run).where("quoted").groupBy("conv", "turn", "run").agg(_words())
+    short = F.concat(_shingles(WIDTH), *(F.when(F.size("words") == n, _shingles(n)).otherwise(F.array().cast("array<struct<hash:bigint,chars:bigint>>")) for n in range(LEAST, WIDTH)))
+    asked = passages.select("conv", "turn", F.inline(short)).groupBy("conv", "turn", "hash").agg(F.sum("chars").alias("chars"))
+    whole = seen.where("depth = 0 and hash is not null").join(lost.select("conv").distinct(), "conv", "left_semi").groupBy("conv", "turn").agg(_words())
+    first = whole.select("conv", "turn", F.inline(F.concat(*(_shingles(n) for n in range(LEAST, WIDTH + 1))))).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+    return asked.join(first, ["conv", "hash"]).where(F.col("origin") < F.col("turn")).select("conv", "turn", "origin", "chars")
+
+
 def links(seen: DataFrame) -> DataFrame:
     """(conv, turn, reply_to): of each message with quotes, the earlier message it answers.
 
@@ -63,7 +102,11 @@ def links(seen: DataFrame) -> DataFrame:
     """
     first = seen.where("depth = 0 and hash is not null").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
     asked = seen.where("depth = 1 and hash is not null").groupBy("conv", "turn", "hash").agg(F.sum("chars").alias("chars"))
-    met = asked.join(first, ["conv", "hash"]).where(F.col("origin") < F.col("turn"))
+    found = settle(asked.join(first, ["conv", "hash"], "left").withColumn("met", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False))), "quoted")
+    met = found.where("met").select("conv", "turn", "origin", "chars")
+    lost = found.where("not met").select("conv", "turn", "hash")
+    if not lost.isEmpty():
+        met = met.unionByName(rewrapped(seen, lost))
     by = met.groupBy("conv", "turn", "origin").agg(F.sum("chars").alias("chars"))
     return by.groupBy("conv", "turn").agg(F.max_by("origin", F.struct("chars", "origin")).alias("reply_to"))
 

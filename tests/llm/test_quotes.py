@@ -65,3 +65,21 @@ def test_odd_rows(spark):
     assert got[1, 1].text == "a two\nb one\nb one" and got[1, 1].role == "a"
     assert got[None, 1].reply_to == -1
     assert threads(df.limit(0)).count() == 0
+
+
+def test_rewrapped_and_partial_quotes_find_their_message(spark):
+    long = "The quick brown fox jumps over the lazy dog, and then it sleeps; nobody knows for how long it will."
+    rows = [
+        (1, 0, "u", f"Hello there\n{long}"),
+        (1, 1, "a", "Some other message of no interest to anyone here"),
+        (1, 2, "u", "> The quick brown fox jumps over\n> the lazy dog, and then\n>\n> it sleeps; nobody knows\nyes"),
+        (1, 3, "a", "> of no interest to anyone\nno"),
+        (1, 4, "u", "> other message of\nshort"),
+        (1, 5, "u", "> brown dog\n> sleeps under the quick fox tonight\nnot said"),
+        (2, 0, "u", "> The quick brown fox jumps over the lazy dog\nelsewhere"),
+        (3, 0, "u", "one two three\nfour five six\nseven"),
+        (3, 1, "u", "> one two three four five six\n> seven\nok"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(g.conv_id, g.turn): g.reply_to for g in threads(df).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 0, (1, 3): 1, (1, 4): 1, (1, 5): None, (2, 0): None, (3, 0): None, (3, 1): 0}
