@@ -216,11 +216,11 @@ def look_up(spark: SparkSession, folder: str, directory: DataFrame, urls: list[s
     """The records of a few URLs. Only directory rows of blocks that may hold a URL's key are fetched; in a block the lines are searched by halves."""
     keys = {u: url_key(u) for u in urls}
     asked = spark.createDataFrame([(k,) for k in sorted(set(keys.values()))], "key string")
-    blocks = directory.join(F.broadcast(asked), (F.col("first_key") <= F.col("key")) & (F.col("key") <= F.col("last_key")), "left_semi").orderBy("first_key").collect()
+    blocks = directory.join(F.broadcast(asked), (F.col("first_key") <= F.col("key")) & (F.col("key") <= F.col("last_key")), "left_semi").orderBy("first_key", "last_key").collect()
     files, found = _Files(folder), {u: [] for u in urls}
     firsts, lasts = [b.first_key for b in blocks], [b.last_key for b in blocks]
     for u, key in keys.items():
-        for b in blocks[bisect_left(sorted(lasts), key) : bisect_right(firsts, key)]:
+        for b in blocks[bisect_left(lasts, key) : bisect_right(firsts, key)]:
             lines = files.unzip(b.file, b.offset, b.length).decode().split("\n")[:-1]
             for line in lines[bisect_left(lines, key + "\t") : bisect_left(lines, key + "\n")]:
                 _, _, f, o, n = line.split("\t")

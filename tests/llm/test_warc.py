@@ -55,3 +55,12 @@ def test_records():
     assert parse_record(make_record(4, None, body, digest, 3))["length"] == len(body)
     with pytest.raises(ValueError):
         parse_record(make_record(3, "u", body, digest, None).replace(body, body[:-1] + b"x"))
+
+
+def test_look_up_of_a_hot_url_with_a_later_key(spark):
+    data = [(k, "http://hot.net/", f"page {k}") for k in range(40)] + [(100, "http://hot.net/z", "later"), (101, "http://hot.net/zz", "last")]
+    folder, directory = archive(spark.createDataFrame(data, "page_id bigint, url string, html string"), lines=3)
+    # The directory's rows may come in any order.
+    for by in (directory.last_key.asc(), directory.last_key.desc()):
+        got = look_up(spark, folder, spark.createDataFrame(directory.orderBy(by).collect(), directory.schema).coalesce(1), ["http://hot.net/", "http://hot.net/z", "http://hot.net/zz"])
+        assert {u: sorted(r["page_id"] for r in found) for u, found in got.items()} == {"http://hot.net/": list(range(40)), "http://hot.net/z": [100], "http://hot.net/zz": [101]}
