@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word characters are everything but these six ASCII white-space characters.
@@ -16,10 +18,16 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster, whose
+    executors would each write to their own disk, gets an error.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="spanwright-"))
     return _fallback[0]
@@ -59,3 +67,30 @@ def utf8(column: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by their exact names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted``, each with so many underscores that it is none of the names ``taken``, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row: what stands in a lambda beside its variable is computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(lengths: Column) -> Column:
+    """The running sums of an array of numbers. Each round adds what stands 1, 2, 4, ... places before, so n numbers take n log n steps; a fold that appends would copy its array at each."""
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(lengths), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(rounds, lengths, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))

@@ -74,3 +74,37 @@ def test_masked_are_short_passwords_and_values_of_two_owners(spark):
     got = [x.text for x in sorted(redact(docs).collect(), key=lambda x: x.doc_id)]
     masked = ["token = " + "*" * 40 + " here", "my token = " + "*" * 40, "Password: ******* é", "passwd='*******'", "slack " + "*" * 16]
     assert got == masked + [t for _, t in texts[5:]]
+
+
+def test_repositories_decide_for_two_owners(spark):
+    value = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+
+    def live(places):
+        docs = spark.createDataFrame([(k, f"token = {value}", o, r) for k, (o, r) in enumerate(places)], "doc_id bigint, text string, source string, repo string")
+        return {(x.n_live, x.n_copied) for x in secrets(docs, repository=F.col("repo")).collect()}
+
+    assert live([("a", "a/1"), ("b", "b/1"), ("b", "b/1")]) == live([("a", "a/1"), ("b", "b/1"), ("b", "b/2")]) == {(1, 0)}
+    assert live([("a", "a/1"), ("a", "a/2"), ("b", "b/1"), ("b", "b/2")]) == {(0, 2)}
+    assert live([("a", f"a/{k}") for k in range(9)]) == {(1, 0)}
+    assert live([(o, "shared") for o in "abc"]) == {(0, 2)}
+
+
+def test_many_matches_in_a_long_text(spark):
+    r = random.Random(4)
+    long = "".join(r.choice(["token=q%dzébra " % k, "é😀 ", "secret: %040x\n" % r.getrandbits(160)]) for k in range(15000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, None, "a")], "doc_id bigint, text string, source string").repartition(2)
+    got = {x.doc_id: x for x in digest(secrets(docs)).collect()}
+    want = base(long)
+    assert len(want) > 10000 and got[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    live = [tuple(map(int, s.split(":")[1:])) for s in got[1].spans.split(",") if s.startswith("live:")]
+    assert len(live) == got[1].n_live > 8000
+    marked = list(long)
+    for a, b in live:
+        marked[a:b] = "*" * (b - a)
+    clean = {x.doc_id: x.text for x in redact(docs).collect()}
+    assert clean == {1: "".join(marked), 2: None}
+
+
+def test_redact_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "Password: hunter2", "a", "r", "h", "dot")], "doc_id bigint, text string, source string, _row string, _hash string, `a.b` string")
+    assert [tuple(x) for x in redact(docs).collect()] == [(1, "Password: *******", "a", "r", "h", "dot")]
