@@ -4,19 +4,25 @@ Every word of a line has a label; affixes, letter n-grams and a lexicon of frequ
 score it, and learned transitions tie it to its neighbours. Forward-backward gives
 each word's label distribution, and a document's is the mean over its words with letters.
 
-The model is fitted on a bounded sample of labelled documents: of each language ``DOCS``
-documents with the smallest hash of their id, of each of these up to ``PIECES`` pieces of
-``PIECE`` words spread over the whole text. Pieces of different documents are put together to
-chains, so that the transitions see switches. Labelling covers every word of every text.
+The model is fitted on a bounded sample of labelled documents: of each language up to ``DOCS``
+documents with the smallest hash of their id, fewer if the languages are so many that these
+would exceed ``SAMPLE`` in all, and of each of these up to ``PIECES`` pieces of ``PIECE`` words
+spread over the whole text. Every language is learned, however many there are, up to ``SAMPLE``
+labels, more than there are languages. Pieces of different documents are put together to
+chains, so that the transitions see switches. Labelling covers every word of every text; words
+without letters are no part of a chain.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; rows with equal
 texts get equal labels; repeated rows each get a row; without any labelled row all are
-``und``; null ids are never held out nor learned from; an empty table gives an empty result.
+``und``; null ids are never held out nor learned from; other columns are ignored by
+:func:`identify` and kept, whatever their names, by :func:`keep_known`; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -26,15 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import free_names, let, named, small_batches
 
-#: The sample's bounds.
-DOCS, PIECES, PIECE, LANGUAGES = 80, 16, 16, 64
+#: The sample's bounds: documents of a language, pieces of a document, words of a piece, letters of a word, documents in all.
+DOCS, PIECES, PIECE, LETTERS, SAMPLE = 80, 16, 16, 64, 10_240
 #: Chains of a batch are lines, cut after so many words.
 CHAIN = 128
 #: Words whose scores a worker remembers.
 CACHE = 200_000
 UNKNOWN = "und"
+#: What goes from texts before they are cut into words: neither letters nor white space.
+_NOISE = re.compile(r"[^\w\s]+|[\d_]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(word: str) -> list[str]:
@@ -50,25 +59,67 @@ def features(word: str) -> list[str]:
     return out
 
 
+def _gram(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key of each run of ``n`` code points, which stands for their string."""
+    wide = codes.astype(np.uint64)
+    key = np.full(max(0, len(codes) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        key = key * _BASE + wide[k : len(codes) - n + 1 + k]
+    return key ^ key >> np.uint64(29)
+
+
+def _key(text: str) -> int:
+    return int(_gram(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), len(text))[0])
+
+
 class Model:
-    """labels, the number of each feature, their weights (features by labels), transitions and start weights."""
+    """labels, the number of each feature, their weights (features by labels), transitions and start weights.
+
+    Affixes are letter runs at a word's edge, so that all features but the lexicon's are runs of
+    2 to 4 characters of the edged word: their weights are summed by run, and looked up for all words at once.
+    """
 
     def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, moves: np.ndarray, start: np.ndarray):
         self.labels, self.index, self.weights, self.moves, self.start = labels, index, weights, moves, start
-
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Label scores of words, and whether each has letters."""
-        ids, counts, letters, get = [], [], [], self.index.get
-        for w in words:
-            found = features(w)
-            letters.append(bool(found))
-            known = [k for k in map(get, found) if k is not None]
-            ids += known
-            counts.append(len(known))
-        rows = np.repeat(np.arange(len(words)), counts)
-        picked = self.weights[np.array(ids, dtype=np.int64)]
-        out = np.stack([np.bincount(rows, picked[:, k], len(words)) for k in range(len(self.labels))], axis=1)
-        return out, np.array(letters, dtype=bool)
+        self.lexicon = {f[1:]: k for f, k in index.items() if f[0] == "="}
+        sums: dict[int, np.ndarray] = {}
+        for f, k in index.items():
+            run = "^" + f[1:] if f[0] == "<" else f[1:] + "$" if f[0] == ">" else f
+            if f[0] != "=":
+                sums[_key(run)] = sums.get(_key(run), 0) + weights[k]
+        self.keys = np.array(sorted(sums), dtype=np.uint64)
+        self.by_key = np.array([sums[k] for k in sorted(sums)]).reshape(-1, len(labels))
+
+    def slow_scores(self, word: str) -> tuple[np.ndarray, bool]:
+        known = [self.index[f] for f in features(word) if f in self.index]
+        return self.weights[known].sum(axis=0), bool(known)
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label scores of words, whether each has letters, and whether the model knows any of its features."""
+        bare = [w if w.isalpha() else "".join([c for c in w if c.isalpha()]) for w in words]
+        letters = np.array([bool(w) for w in bare], dtype=bool)
+        out, known = np.zeros((len(words), len(self.labels))), np.zeros(len(words), dtype=bool)
+        codes = np.frombuffer("".join([f"^{w}$" for w in bare]).encode("utf-32-le"), dtype=np.uint32)
+        word = np.repeat(np.arange(len(bare)), np.array([len(w) + 2 for w in bare], dtype=np.int64))
+        for n in (2, 3, 4):
+            if len(codes) < n or not len(self.keys):
+                continue
+            inside = word[n - 1 :] == word[: len(codes) - n + 1]
+            if n == 4:
+                inside &= (codes[: -n + 1] == 94) | (codes[n - 1 :] == 36)
+            key, at = _gram(codes, n)[inside], word[n - 1 :][inside]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = self.keys[place] == key
+            place, at = place[met], at[met]
+            known[at] = True
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(at, self.by_key[place, k], len(bare))
+        entry = np.array([self.lexicon.get(w, -1) for w in bare], dtype=np.int64)
+        out[entry >= 0] += self.weights[entry[entry >= 0]]
+        known |= entry >= 0
+        for k in [k for k, w in enumerate(bare) if len(w) < 3]:  # their affixes coincide
+            out[k], known[k] = self.slow_scores(bare[k])
+        return out, letters, known
 
 
 def forward_backward(score: np.ndarray, length: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -160,7 +211,7 @@ class Labeller:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.known = np.zeros((0, len(self.model.labels)))
-        self.letters = np.zeros(0, dtype=bool)
+        self.letters, self.met = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.number})
@@ -168,13 +219,13 @@ class Labeller:
             if len(self.number) + len(new) > CACHE and self.number:
                 self._forget()
                 new = list(set(words))
-            scores, letters = self.model.scores(new)
+            scores, letters, met = self.model.scores(new)
             self.number.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.known, self.letters = np.concatenate([self.known, scores]), np.concatenate([self.letters, letters])
+            self.known, self.letters, self.met = np.concatenate([self.known, scores]), np.concatenate([self.letters, letters]), np.concatenate([self.met, met])
         return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def _chains(self, chains: list[list[str]]) -> list[tuple[np.ndarray, int, int]]:
-        """Of each chain: summed distributions, words with letters, changes of label between them."""
+    def _chains(self, chains: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each chain: summed distributions, words with letters, changes of label between them, words of which a feature is known."""
         length = np.array([len(c) for c in chains])
         order = np.argsort(-length, kind="stable")
         sorted_ = length[order]
@@ -185,27 +236,32 @@ class Labeller:
         score[at, chain] = self.known[flat]
         belief, _, _ = forward_backward(score, sorted_, self.model.moves, self.model.start)
         own, letters = belief[at, chain], self.letters[flat]
-        sums = np.stack([np.bincount(chain[letters], own[letters, k], len(chains)) for k in range(own.shape[1])], axis=1)
-        words = np.bincount(chain[letters], minlength=len(chains))
-        best, where = own[letters].argmax(axis=1), chain[letters]
+        own, where, met = own[letters], chain[letters], self.met[flat][letters]
+        sums = np.stack([np.bincount(where, own[:, k], len(chains)) for k in range(own.shape[1])], axis=1)
+        best = own.argmax(axis=1)
         changes = np.bincount(where[1:][(best[1:] != best[:-1]) & (where[1:] == where[:-1])], minlength=len(chains))
-        out = [None] * len(chains)
-        for k, c in enumerate(order.tolist()):
-            out[c] = (sums[k], int(words[k]), int(changes[k]))
-        return out
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return sums[back], np.bincount(where, minlength=len(chains))[back], changes[back], np.bincount(where[met], minlength=len(chains))[back]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
         """(language, score, words with letters, switches) of each text."""
-        total = [(np.zeros(len(self.model.labels)), 0, 0) for _ in texts]
+        return [found[:4] for found in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, int, int, int]]:
+        """As :meth:`label`, with the number of words of which the model knows a feature."""
+        sums, counts = np.zeros((len(texts), len(self.model.labels))), np.zeros((len(texts), 3), dtype=np.int64)
         owners, chains, held = [], [], 0
         most = max(64, 4_000_000 // (CHAIN * len(self.model.labels)))
 
         def work():
-            for k, (s, n, c) in zip(owners, self._chains(chains), strict=True):
-                total[k] = (total[k][0] + s, total[k][1] + n, total[k][2] + c)
+            found, own = self._chains(chains), np.array(owners)
+            np.add.at(sums, own, found[0])
+            for k in range(3):
+                np.add.at(counts[:, k], own, found[k + 1])
 
         for k, t in enumerate(texts):
-            for line in (t or "").lower().split("\n"):
+            for line in _NOISE.sub("", (t or "").lower()).split("\n"):
                 words = line.split()
                 for a in range(0, len(words), CHAIN):
                     owners.append(k)
@@ -216,25 +272,37 @@ class Labeller:
                         owners, chains, held = [], [], 0
         if chains:
             work()
-        out = []
-        for s, n, c in total:
-            best = int(s.argmax())
-            out.append((self.model.labels[best], min(1.0, float(s[best] / n)), n, c) if n else (UNKNOWN, 0.0, 0, 0))
-        return out
+        best = sums.argmax(axis=1).tolist() if len(texts) else []
+        return [(self.model.labels[b], min(1.0, float(s[b] / c[0])), *c.tolist()) if c[0] else (UNKNOWN, 0.0, 0, 0, 0) for b, s, c in zip(best, sums, counts, strict=True)]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def shortened(text: Column) -> Column:
+    """Up to PIECES pieces of PIECE words, of LETTERS letters at most, spread over the whole text."""
+    words = F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+
+    def pieces(own: Column) -> Column:
+        cuts = F.ceil(F.size(own) / PIECE)
+        step = F.greatest(F.lit(1), F.ceil(cuts / PIECES)).cast("int") * PIECE
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), step)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda k: F.slice(own, k, F.lit(PIECE))))
+
+    return F.array_join(F.transform(let(words, pieces), lambda w: F.substring(w, 1, LETTERS)), " ")
+
+
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """The (language, text) pairs to learn from, LANGUAGES times DOCS at most; texts are fetched for the chosen ids alone."""
+    """The (language, text) pairs to learn from, SAMPLE at most; texts are fetched for the chosen ids alone and shortened where they are read."""
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()]
+    each = max(1, min(DOCS, SAMPLE // max(1, len(common))))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.where(F.col("lang").isin(common)).withColumn("nth", nth).where(F.col("nth") <= DOCS).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), (F.col(doc_id) == F.col("_id")) & (F.col(lang).cast("string") == F.col("_lang")))
-    rows = rows.groupBy("_lang", "_id").agg(F.min(text).alias("_text"))
+    ids = known.where(F.col("lang").isin(common)).withColumn("nth", nth).where(F.col("nth") <= each).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    rows = docs.select(F.col(doc_id).alias("_own"), F.col(lang).cast("string").alias("_told"), F.col(text).cast("string").alias("_text")).where("_text is not null")
+    rows = rows.join(F.broadcast(ids), (F.col("_own") == F.col("_id")) & (F.col("_told") == F.col("_lang")))
+    rows = rows.select("_lang", "_id", shortened(F.col("_text")).alias("_text")).groupBy("_lang", "_id").agg(F.min("_text").alias("_text"))
     return [(r._lang, r._text) for r in rows.orderBy("_lang", F.xxhash64("_id"), "_id").collect()]
 
 
@@ -242,33 +310,39 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(sample(docs, doc_id, text, lang))
 
 
-def annotate(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with the columns _lang, _score, _words and _switches added."""
+ADDED = (("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64()), ("words", T.LongType(), pa.int64()), ("switches", T.LongType(), pa.int64()), ("known", T.LongType(), pa.int64()))
+
+
+def annotate(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns ADDED, and the names these got: their own unless ``docs`` has such columns."""
     small_batches(docs.sparkSession, 256)
     place, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "_lang", "_score", "_words", "_switches"]
-    added = [T.StructField(n, k) for n, k in zip(names[-4:], (T.StringType(), T.DoubleType(), T.LongType(), T.LongType()), strict=True)]
-    schema = T.StructType([*docs.schema.fields, *added])
+    names = free_names(docs.columns, *(n for n, _, _ in ADDED))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, (_, kind, _) in zip(names, ADDED, strict=True))])
 
     def run(batches):
         labeller = Labeller(shared.value) if shared.value else None
         for b in batches:
             texts = b.column(place).to_pylist()
-            found = labeller.label(texts) if labeller else [(UNKNOWN, 0.0, 0, 0)] * len(texts)
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names)
+            found = labeller.judge(texts) if labeller else [(UNKNOWN, 0.0, 0, 0, 0)] * len(texts)
+            columns = [pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(ADDED)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), names
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, words, switches of every row."""
     model = learn(docs, doc_id, text, lang)
-    seen = annotate(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
-    return seen.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_words").alias("words"), F.col("_switches").alias("switches"))
+    seen, _ = annotate(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), model)
+    return seen.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "words", "switches")
+
 
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows that no language fits; a null language becomes the one found.
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.3) -> DataFrame:
-    """``docs`` without rows of no known language (``und``, or a score below ``least``); a null language becomes the one found."""
-    seen = annotate(docs, learn(docs, doc_id, text, lang), text).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least))
-    return seen.withColumn(lang, F.coalesce(lang, "_lang")).select(*docs.columns)
+    These are rows without any word, and those of which the model knows no feature at all,
+    as in a script that no learned language is written in. However low a score is, no row goes for it.
+    """
+    seen, (found, _, _, _, known) = annotate(docs, learn(docs, doc_id, text, lang), text)
+    return seen.where(F.col(known) > 0).withColumn(lang, F.coalesce(lang, found)).select(*named(docs))

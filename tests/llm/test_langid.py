@@ -5,7 +5,8 @@ from itertools import product
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanwright.llm.langid import Labeller, features, fit, forward_backward, identify, keep_known
+from spanwright.llm import langid
+from spanwright.llm.langid import Labeller, features, fit, forward_backward, identify, keep_known, learn, sample
 
 WORDS = {
     "en": "the and that with from this have which their would about thing other could people into than only".split(),
@@ -80,3 +81,66 @@ def test_identify(spark):
     assert identify(docs.limit(0)).count() == 0
     unlabelled = identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {g.lang_pred for g in unlabelled} == {"und"}
+
+
+def slowly(model, text):
+    """What the labeller should say of a text, word by word in log space."""
+    total, words, known, switches = np.zeros(len(model.labels)), 0, 0, 0
+    for line in (text or "").lower().split("\n"):
+        bare = ["".join(c for c in w if c.isalnum() and not c.isdecimal()) for w in line.split()]
+        bare = [w for w in bare if w]
+        for a in range(0, len(bare), langid.CHAIN):
+            own, last = bare[a : a + langid.CHAIN], None
+            score = [sum((model.weights[model.index[f]] for f in features(w) if f in model.index), np.zeros(len(model.labels))) for w in own]
+            ahead, back = [model.start + score[0]], [np.zeros(len(model.labels))]
+            for s in score[1:]:
+                ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + model.moves, axis=0) + s)
+            for s in reversed(score[1:]):
+                back.append(np.logaddexp.reduce(model.moves + s + back[-1], axis=1))
+            for w, f, b in zip(own, ahead, reversed(back), strict=True):
+                p = np.exp(f + b - np.logaddexp.reduce(f + b))
+                if features(w):
+                    total, words, known = total + p, words + 1, known + any(x in model.index for x in features(w))
+                    switches += last is not None and last != p.argmax()
+                    last = p.argmax()
+    return (model.labels[int(total.argmax())], total.max() / words, words, switches, known) if words else ("und", 0.0, 0, 0, 0)
+
+
+def test_whole_query_against_a_slow_program(spark):
+    r = random.Random(6)
+    rows = [(k, "\n".join(text(r, r.choice(list(WORDS)), r.randint(0, 200)) for _ in range(r.randint(1, 3))) + r.choice(["", " a1b 12 ²x ½ _ l'eau", " Ünï \u4f60\u597d x"]), r.choice([*WORDS, None])) for k in range(60)]
+    rows += [(100, None, "en"), (101, "...\n\n7", "en"), (102, "\u03b1\u03b2\u03b3 \u03b4", None), (103, "x " * 3000, "de"), (104, "q" * 30000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = learn(docs)
+    want = {i: slowly(model, t) for i, t, _ in rows}
+    got = {g.doc_id: g for g in identify(docs).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score, words, switches, _) in want.items():
+        assert (got[i].lang_pred, got[i].words, got[i].switches) == (lang, words, switches) and abs(got[i].score - score) < 1e-6, i
+    kept = {x.doc_id for x in keep_known(docs).collect()}
+    assert kept == {i for i, w in want.items() if w[4]} and not {100, 101, 102} & kept
+
+
+def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x{j}y" for j in range(900)), f"l{k % 100}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE", 200)
+    got = sample(docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {lang for lang, _ in got} == learned and len(learned) > 90 and len(got) <= 200
+    assert all(len(t.split()) <= langid.PIECES * langid.PIECE and max(map(len, t.split())) <= langid.LETTERS for _, t in got)
+    whole = [(lang, t) for lang in WORDS for t in [text(random.Random(1), lang, 700)]]
+    short = {x._1: x._2 for x in spark.createDataFrame(whole).select("_1", langid.shortened(F.col("_2")).alias("_2")).collect()}
+    for lang, t in whole:
+        cuts = [t.lower().split()[k : k + 16] for k in range(0, 700, 16)]
+        assert short[lang].split() == [w for c in cuts[:: -(-len(cuts) // 16)] for w in c]
+
+
+def test_no_row_goes_for_a_low_score_and_no_column_for_its_name(spark):
+    r = random.Random(7)
+    rows = [(k, text(r, lang, 40), lang, "a", 1.5, "b") for k in range(90) for lang in [r.choice(list(WORDS))]]
+    rows += [(200, " ".join(text(r, lang, 1) for _ in range(20) for lang in WORDS), None, "a", 1.5, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, score double, Words string")
+    kept = keep_known(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id, x.lang_pred, x.score, x.Words) for x in kept.collect()) == sorted((x[0], *x[3:]) for x in rows)
