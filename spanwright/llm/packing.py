@@ -126,7 +126,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     places = spark.sparkContext.broadcast(layout(patterns(counts, capacity)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = held.select("part", "length", before.alias("before"))
-    numbered = pieces.join(firsts, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("number"))
+    # A row for each length in each part: as many as the input has parts, so they are dealt out, not broadcast.
+    numbered = pieces.join(firsts.hint("shuffle_hash"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("number"))
 
     def run(batches):
         for b in batches:

@@ -8,8 +8,8 @@ from array import array
 #: Texts with other characters take the tokenizer's own path: for these, lower-casing, normal form and white space agree with Python's.
 _ODD = re.compile("[^\t-\r -~\xa1-įı-ɏ]")
 _PLAIN_ASCII = bytes([*range(9, 14), *range(32, 127)])
-#: Words (and word pieces) that a worker remembers: two generations of so many.
-CACHE = 200_000
+#: Words and word pieces that a worker remembers: two generations of so many.
+CACHE = 250_000
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -54,7 +54,6 @@ class WordTokenizer:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.shown = _byte_letters()
-        self.pieces = _Cache(self._piece)
         self.words = _Cache(self._word)
 
     def _piece(self, piece: str) -> bytes:
@@ -63,11 +62,12 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
-            return self.pieces[word]
+            return self._piece(word)
         head, mark = word[:-1], word[-1]
         if head.isalpha() and mark in ".,;:|!?":
-            return self.pieces[head] + self.pieces[mark]
-        return b"".join([self.pieces[p] for p in self.split(word)])
+            return self.words[head] + self.words[mark]
+        parts = self.split(word)
+        return self._piece(word) if parts == [word] else b"".join([self.words[p] for p in parts])
 
     def _simple(self, text: str) -> bool:
         odd = text.encode("ascii").translate(None, _PLAIN_ASCII) if text.isascii() else _ODD.search(text)
