@@ -21,7 +21,8 @@ def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.threads(table(spark, sf_dir, "conversations"))
+    """Every message of ``conversations``, sent as mail that quotes earlier ones (the table itself holds no quotes)."""
+    return quotes.threads(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

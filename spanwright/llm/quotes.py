@@ -1,18 +1,24 @@
 """Chat formatting by quotation linking, with DataFrame operations only.
 
-Lines that start with ``>`` marks are quotes of that depth. Quoted lines are normalised and
-hashed and looked up among the unquoted lines of earlier messages of the conversation.
-Passages of quoted lines that no such line equals, because a mail client wrapped them anew or
-they are a part of a longer line, are looked up by shingles of ``WIDTH`` words, whatever the
-line breaks. The message that most quoted characters of depth 1 come from is the one replied to. Quotes
-and lines that announce them are taken out, and messages are ordered by replies: each
-follows the message it answers, in the order written.
-
-Defined results: a null text is empty; a message whose quotes match nothing earlier replies
-to none and keeps its place by turn; several rows of one turn are one message whose
-lines are put together in the order of their text; null conv_ids (and turns) are one
-conversation (and turn) of their own, as a value below all others; other columns are
-ignored; an empty table gives an empty result.
+Lines that start with ``>`` marks are quotes of that depth. A passage is a run of lines of one
+depth in a message, without lines that announce a quote. Passages are normalised (lower case,
+letters and digits, one space, whatever the line breaks) and hashed. A passage of depth d is
+looked up among the unquoted passages of the conversation, which gives the message that wrote
+it, and, from depth 2 on, among those of depth d - 1, which gives the message that it was
+quoted from. Passages that no unquoted one equals, because they are a part of a longer one, are
+looked up by shingles of ``WIDTH`` words. Only earlier messages count; of several the first.
+
+A message answers the one that most of its quoted characters come from, at the least depth
+that any link has; of links at that depth, those to the message quoted from go before those to
+the writer of the text. Quotes and their announcements are taken out, and a conversation is
+ordered by threads, and within a thread by reply depth and turn, so that each message follows
+the one it answers.
+
+Defined results: a null text is empty; a message whose quotes match nothing earlier answers
+none and begins a thread; several rows of one turn are one message whose lines are put together
+by their number and then by their text; null conv_ids (and turns) are one conversation (and
+turn) of their own, below all others, and what answers a message of a null turn has reply_to null with a
+reply_depth above 0; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,19 +32,18 @@ from .common import settle
 _QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: A line that announces a quote below it.
 _INTRO = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
-#: Turns are written with so many digits in reply paths, so that paths sort as their turns.
-_DIGITS = 19
-_NO_CONV, _NO_TURN = -(1 << 63), -1
 #: Words of a passage's shingles; a passage of fewer words, but LEAST, is one shingle.
 WIDTH, LEAST = 5, 3
+_SHINGLE = "array<struct<hash:bigint,chars:bigint>>"
 
 
-def _conv(column: Column) -> Column:
-    return F.coalesce(column.cast("bigint"), F.lit(_NO_CONV))
+def _key(column: Column) -> Column:
+    """An id as a key that null ids have as well, below all others."""
+    return F.named_struct(F.lit("known"), column.isNotNull(), F.lit("id"), F.coalesce(column.cast("bigint"), F.lit(0)))
 
 
-def _turn(column: Column) -> Column:
-    return F.coalesce(column.cast("bigint"), F.lit(_NO_TURN))
+def _id(key: str) -> Column:
+    return F.when(F.col(key)["known"], F.col(key)["id"])
 
 
 def depth(line: Column) -> Column:
@@ -53,10 +58,22 @@ def normal(line: Column) -> Column:
 
 
 def lines(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn, nth, line, depth, hash, chars) of every line; the hash is null for lines without letters or digits."""
-    rows = messages.select(_conv(F.col(conv_id)).alias("conv"), _turn(F.col(turn)).alias("turn"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("nth", "line"))
+    """(conv, turn, nth, line, depth, normal, intro) of every line; ``intro`` lines announce a deeper one below."""
+    rows = messages.select(_key(F.col(conv_id)).alias("conv"), _key(F.col(turn)).alias("turn"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("nth", "line"))
     rows = rows.withColumn("depth", depth(F.col("line"))).withColumn("normal", normal(F.col("line")))
-    return rows.select("conv", "turn", "nth", "line", "depth", F.when(F.col("normal") != "", F.sha2("normal", 256)).alias("hash"), F.length("normal").alias("chars"))
+    following = F.lead("depth").over(Window.partitionBy("conv", "turn").orderBy("nth", "line"))
+    bare = F.regexp_replace("line", _QUOTE, "")
+    return rows.withColumn("intro", bare.rlike(_INTRO) & (F.coalesce(following, F.lit(0)) > F.col("depth")))
+
+
+def passages(seen: DataFrame) -> DataFrame:
+    """(conv, turn, run, depth, words, hash) of every passage with a word; ``words`` is an array."""
+    order = Window.partitionBy("conv", "turn").orderBy("nth", "line")
+    rows = seen.where("not intro").withColumn("before", F.lag("depth").over(order))
+    run = F.count_if(F.col("before").isNull() | (F.col("before") != F.col("depth"))).over(order)
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line", "normal"))), lambda x: x["normal"]), " ")
+    whole = rows.withColumn("run", run).groupBy("conv", "turn", "run", "depth").agg(F.filter(F.split(told, " "), lambda w: w != "").alias("words"))
+    return whole.where(F.size("words") > 0).withColumn("hash", F.xxhash64(F.array_join("words", " ")))
 
 
 def _shingles(width: int) -> Column:
@@ -69,111 +86,162 @@ def _shingles(width: int) -> Column:
         return F.struct(F.xxhash64(F.lit(width), text).alias("hash"), F.when(last, F.length(text)).otherwise(F.length(F.element_at(words, k))).cast("bigint").alias("chars"))
 
     starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1))
-    return F.coalesce(F.transform(starts, one), F.array().cast("array<struct<hash:bigint,chars:bigint>>"))
+    return F.coalesce(F.transform(starts, one), F.array().cast(_SHINGLE))
 
 
-def _words() -> Column:
-    """The words of a group's lines (nth, line) in order, whatever the line breaks."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: normal(x["line"])), " ")
-    return F.filter(F.split(text, " "), lambda w: w != "").alias("words")
+def parts(whole: DataFrame, lost: DataFrame) -> DataFrame:
+    """(conv, turn, depth, origin, chars): messages whose unquoted passages the quoted passages ``lost`` are parts of."""
+    short = F.concat(_shingles(WIDTH), *(F.when(F.size("words") == n, _shingles(n)).otherwise(F.array().cast(_SHINGLE)) for n in range(LEAST, WIDTH)))
+    asked = lost.select("conv", "turn", "depth", F.inline(short)).groupBy("conv", "turn", "depth", "hash").agg(F.sum("chars").alias("chars"))
+    written = whole.where("depth = 0").join(lost.select("conv").distinct(), "conv", "left_semi")
+    first = written.select("conv", "turn", F.inline(F.concat(*(_shingles(n) for n in range(LEAST, WIDTH + 1))))).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+    return asked.join(first, ["conv", "hash"]).where(F.col("origin") < F.col("turn")).select("conv", "turn", "depth", "origin", "chars")
 
 
-def rewrapped(seen: DataFrame, lost: DataFrame) -> DataFrame:
-    """(conv, turn, origin, chars): earlier messages that passages of the quoted lines ``lost`` (conv, turn, hash) come from.
+def links(whole: DataFrame) -> DataFrame:
+    """(conv, turn, depth, direct, origin, chars): of each message's passages of each depth the earlier messages that they come from.
 
-    A passage is a run of lost lines of depth 1 of one message; a shingle's original is its first unquoted use.
-    """
-    mine = seen.join(lost.select("conv", "turn").distinct(), ["conv", "turn"], "left_semi")
-    told = mine.join(lost.withColumn("lost", F.lit(True)), ["conv", "turn", "hash"], "left").withColumn("quoted", (F.col("depth") == 1) & (F.col("hash").isNull() | F.col("lost").isNotNull()))
-    run = F.count_if(~F.col("quoted")).over(Window.partitionBy("conv", "turn").orderBy("nth", "line"))
-    passages = told.withColumn("run", run).where("quoted").groupBy("conv", "turn", "run").agg(_words())
-    short = F.concat(_shingles(WIDTH), *(F.when(F.size("words") == n, _shingles(n)).otherwise(F.array().cast("array<struct<hash:bigint,chars:bigint>>")) for n in range(LEAST, WIDTH)))
-    asked = passages.select("conv", "turn", F.inline(short)).groupBy("conv", "turn", "hash").agg(F.sum("chars").alias("chars"))
-    whole = seen.where("depth = 0 and hash is not null").join(lost.select("conv").distinct(), "conv", "left_semi").groupBy("conv", "turn").agg(_words())
-    first = whole.select("conv", "turn", F.inline(F.concat(*(_shingles(n) for n in range(LEAST, WIDTH + 1))))).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    return asked.join(first, ["conv", "hash"]).where(F.col("origin") < F.col("turn")).select("conv", "turn", "origin", "chars")
-
-
-def links(seen: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to): of each message with quotes, the earlier message it answers.
-
-    A line's original is its first unquoted use in the conversation, so that however often
-    a line is used or quoted, each quoted line meets one original.
+    ``direct`` links lead to the message that a passage was quoted from, others to its writer; at depth 1 these are the same.
+    However often a passage is used or quoted, each quoted one meets one original at each level.
     """
-    first = seen.where("depth = 0 and hash is not null").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    asked = seen.where("depth = 1 and hash is not null").groupBy("conv", "turn", "hash").agg(F.sum("chars").alias("chars"))
-    found = settle(asked.join(first, ["conv", "hash"], "left").withColumn("met", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False))), "quoted")
-    met = found.where("met").select("conv", "turn", "origin", "chars")
-    lost = found.where("not met").select("conv", "turn", "hash")
+    first = whole.groupBy("conv", "hash", F.col("depth").alias("level")).agg(F.min("turn").alias("origin"))
+    levels = F.when(F.col("depth") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("depth") - 1))
+    asked = whole.where("depth > 0").withColumn("chars", F.length(F.array_join("words", " ")).cast("bigint")).withColumn("level", F.explode(levels))
+    found = settle(asked.join(first, ["conv", "hash", "level"], "left").withColumn("met", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False))), "quoted")
+    met = found.where("met").select("conv", "turn", "depth", (F.col("level") == F.col("depth") - 1).alias("direct"), "origin", "chars")
+    lost = found.where("level = 0 and not met").select("conv", "turn", "depth", "words")
     if not lost.isEmpty():
-        met = met.unionByName(rewrapped(seen, lost))
-    by = met.groupBy("conv", "turn", "origin").agg(F.sum("chars").alias("chars"))
-    return by.groupBy("conv", "turn").agg(F.max_by("origin", F.struct("chars", "origin")).alias("reply_to"))
+        met = met.unionByName(parts(whole, lost).withColumn("direct", F.col("depth") == 1))
+    return met.groupBy("conv", "turn", "depth", "direct", "origin").agg(F.sum("chars").alias("chars"))
 
 
-def paths(replies: DataFrame) -> DataFrame:
-    """(conv, turn, path) of each message in ``replies`` (conv, turn, reply_to): the turns from the first message answered to this one.
+def answers(linked: DataFrame) -> DataFrame:
+    """(conv, turn, reply_to, quoted_from) by message with links: the message answered, and for each depth its text's writer, as ``depth:turn``."""
+    best = F.max_by("origin", F.struct(-F.col("depth"), "direct", "chars", "origin")).alias("reply_to")
+    writer = linked.where("not direct or depth = 1").groupBy("conv", "turn", "depth").agg(F.max_by("origin", F.struct("chars", "origin")).alias("origin"))
+    shown = F.struct("depth", F.concat_ws(":", F.col("depth").cast("string"), F.coalesce(_id("origin").cast("string"), F.lit("null"))).alias("s"))
+    told = writer.groupBy("conv", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["s"]), " ").alias("quoted_from"))
+    return linked.groupBy("conv", "turn").agg(best).join(told, ["conv", "turn"], "left").withColumn("quoted_from", F.coalesce("quoted_from", F.lit("")))
 
-    Each round doubles how far back a path reaches; messages are matched by conversation and turn.
+
+def places(replies: DataFrame) -> DataFrame:
+    """(conv, turn, thread, reply_depth) of each message in ``replies`` (conv, turn, reply_to): the turn that its thread begins with, and the replies from there.
+
+    Each round doubles how far back a message has looked; a row holds four numbers however long its thread.
     """
-    own = F.lpad(F.col("turn").cast("string"), _DIGITS, "0")
-    state = settle(replies.select("conv", "turn", F.col("reply_to").alias("up"), own.alias("path")), "paths")
+    up = F.col("reply_to")
+    state = settle(replies.select("conv", "turn", up.alias("up"), F.coalesce(up, F.col("turn")).alias("thread"), F.when(up.isNull(), 0).otherwise(1).cast("bigint").alias("reply_depth")), "places")
     while not state.where("up is not null").isEmpty():
-        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        open_ = state.where("up is not null").join(above, ["conv", "up"], "left")
-        longer = open_.select("conv", "turn", F.col("next").alias("up"), F.concat_ws("/", "before", "path").alias("path"))
-        state = settle(state.where("up is null").unionByName(longer), "paths")
-    return state.select("conv", "turn", "path")
+        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("thread").alias("top"), F.col("reply_depth").alias("more"))
+        further = state.where("up is not null").join(above, ["conv", "up"]).select("conv", "turn", F.col("next").alias("up"), F.col("top").alias("thread"), (F.col("reply_depth") + F.col("more")).alias("reply_depth"))
+        state = settle(state.where("up is null").unionByName(further), "places")
+    return state.select("conv", "turn", "thread", "reply_depth")
 
 
 def threads(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, text (without quotes), reply_to, reply_depth, path, n_quoted of each message.
+    """conv_id, turn, role, text (without quotes), reply_to, thread, reply_depth, quoted_from, n_quoted of each message.
 
-    ``path`` orders a conversation by replies; it names every message above, so it is as long
-    as the reply depth. Rows are sorted by conversation and path over all partitions; a long
+    Rows are sorted by conversation, thread, reply depth and turn over all partitions; a long
     conversation spreads over as many ranges as it needs.
     """
     seen = settle(lines(messages, conv_id, turn, text), "lines")
-    following = F.lead("depth").over(Window.partitionBy("conv", "turn").orderBy("nth", "line"))
-    marked = seen.withColumn("intro", F.col("line").rlike(_INTRO) & (F.coalesce(following, F.lit(0)) > 0))
     kept = F.array_sort(F.collect_list(F.when((F.col("depth") == 0) & ~F.col("intro"), F.struct("nth", "line"))))
     body = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    bodies = marked.groupBy("conv", "turn").agg(body.alias("text"), F.count_if(F.col("depth") > 0).alias("n_quoted"))
-    roles = messages.groupBy(_conv(F.col(conv_id)).alias("conv"), _turn(F.col(turn)).alias("turn")).agg(F.min(F.col(role)).alias("role"))
-    whole = settle(bodies.join(roles, ["conv", "turn"]).join(links(seen), ["conv", "turn"], "left"), "messages")
-    placed = whole.join(paths(whole.select("conv", "turn", "reply_to")), ["conv", "turn"])
-    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = placed.select(F.nullif("conv", F.lit(_NO_CONV)).alias("conv_id"), F.nullif("turn", F.lit(_NO_TURN)).alias("turn"), "role", "text", "reply_to", (F.size(F.split("path", "/")) - 1).cast("bigint").alias("reply_depth"), "path", "n_quoted")
-    return out.repartitionByRange(parts, "conv_id", "path").sortWithinPartitions("conv_id", "path")
-
-
-ORACLE = r"""
-with recursive m as (
-  select conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') as p from conversations),
-l as (
-  select conv_id, turn, unnest(range(len(p))) as nth, unnest(p) as line from m),
+    bodies = seen.groupBy("conv", "turn").agg(body.alias("text"), F.count_if(F.col("depth") > 0).alias("n_quoted"))
+    roles = messages.groupBy(_key(F.col(conv_id)).alias("conv"), _key(F.col(turn)).alias("turn")).agg(F.min(F.col(role)).alias("role"))
+    linked = answers(links(settle(passages(seen), "passages")))
+    whole = settle(bodies.join(roles, ["conv", "turn"]).join(linked, ["conv", "turn"], "left"), "messages")
+    placed = whole.join(places(whole.select("conv", "turn", "reply_to")), ["conv", "turn"])
+    count = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = placed.select(_id("conv").alias("conv_id"), _id("turn").alias("turn"), "role", "text", _id("reply_to").alias("reply_to"), _id("thread").alias("thread"), "reply_depth", F.coalesce("quoted_from", F.lit("")).alias("quoted_from"), "n_quoted")
+    order = ("conv_id", "thread", "reply_depth", "turn")
+    return out.repartitionByRange(count, *order).sortWithinPartitions(*order)
+
+
+def as_mail(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Conversations as a mail client would send them: most messages quote the one to three before, nested and announced.
+
+    Digits of a hash of conversation and turn tell how many, whether quoted texts are whole, wrapped anew
+    every 8 words or cut after 12, and whether the nearest one was trimmed away. A message's own text, quotes and
+    all, stays below.
+    """
+    own = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    later = own.where("conv_id is not null and turn is not null").select("conv_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"), "turn", "text", "role")
+    before = later.groupBy("conv_id", (F.col("turn") + F.col("k")).alias("turn")).agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("text", "role")))
+    digit = lambda k: F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), k, 1)
+
+    def form(k: int) -> Column:
+        flat = F.replace(f"text{k}", F.lit("\n"), F.lit(" "))
+        return F.when(digit(3) < "6", F.col(f"text{k}")).when(digit(3) < "b", F.regexp_replace(flat, "((?:[^ ]+ ){7}[^ ]+) ", "$1\n")).otherwise(F.regexp_extract(flat, "^(?:[^ ]+ ){0,11}[^ ]+", 0))
+
+    def quoted(k: int, inner: Column) -> Column:
+        return F.concat(F.lit("On Monday "), F.coalesce(f"role{k}", F.lit("someone")), F.lit(" wrote:\n> "), F.replace(inner, F.lit("\n"), F.lit("\n> ")))
+
+    third = F.when((digit(2) >= "c") & F.col("text3").isNotNull(), F.concat(quoted(3, form(3)), F.lit("\n"))).otherwise("")
+    nested = F.when((digit(2) >= "8") & F.col("text2").isNotNull(), quoted(2, F.concat(third, form(2))))
+    nearest = F.when(nested.isNull(), form(1)).when(digit(4) < "3", nested).otherwise(F.concat(nested, F.lit("\n"), form(1)))
+    sent = F.when((digit(1) >= "3") & F.col("text1").isNotNull(), F.concat(quoted(1, nearest), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    return own.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", sent.alias("text"))
+
+
+def _form_sql(k: int) -> str:
+    flat = f"replace(u{k}.text, chr(10), ' ')"
+    return f"case when substr(b.h, 3, 1) < '6' then u{k}.text when substr(b.h, 3, 1) < 'b' then regexp_replace({flat}, '((?:[^ ]+ ){{7}}[^ ]+) ', '\\1' || chr(10), 'g') else regexp_extract({flat}, '^(?:[^ ]+ ){{0,11}}[^ ]+') end as form{k}, u{k}.role as role{k}"
+
+
+def _quoted_sql(k: int, inner: str) -> str:
+    return f"'On Monday ' || coalesce(role{k}, 'someone') || ' wrote:' || chr(10) || '> ' || replace({inner}, chr(10), chr(10) || '> ')"
+
+
+ORACLE = rf"""
+with recursive own as (
+  select conv_id, turn, role, coalesce(text, '') as text, md5(conv_id || ':' || turn) as h from conversations),
+f0 as (
+  select b.*, {_form_sql(1)}, {_form_sql(2)}, {_form_sql(3)}
+  from own b left join own u1 on u1.conv_id = b.conv_id and u1.turn = b.turn - 1
+  left join own u2 on u2.conv_id = b.conv_id and u2.turn = b.turn - 2 left join own u3 on u3.conv_id = b.conv_id and u3.turn = b.turn - 3),
+f1 as (select *, case when substr(h, 2, 1) >= 'c' and form3 is not null then {_quoted_sql(3, "form3")} || chr(10) else '' end as third from f0),
+f2 as (select *, case when substr(h, 2, 1) >= '8' and form2 is not null then {_quoted_sql(2, "third || form2")} end as nested from f1),
+f3 as (select *, case when nested is null then form1 when substr(h, 4, 1) < '3' then nested else nested || chr(10) || form1 end as nearest from f2),
+m as (
+  select conv_id, turn, role, string_split_regex(case when substr(h, 1, 1) >= '3' and form1 is not null then {_quoted_sql(1, "nearest")} || chr(10) || text else text end, '\r?\n') as p from f3),
+l as (select conv_id, turn, unnest(range(len(p))) as nth, unnest(p) as line from m),
 d as (
-  select *, regexp_extract(line, '^(?:[ \t]*>)+[ \t]?') as head,
-         trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '')), '[^\p{L}\p{N}]+', ' ', 'g')) as n from l),
+  select *, regexp_extract(line, '^(?:[ \t]*>)+[ \t]?') as head, regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') as bare from l),
 q as (
-  select *, len(head) - len(replace(head, '>', '')) as depth from d),
-f as (select conv_id, n, min(turn) as origin from q where depth = 0 and n <> '' group by all),
-b as (
-  select q.conv_id, q.turn, f.origin, sum(len(q.n)) as chars from q join f on q.conv_id = f.conv_id and q.n = f.n
-  where q.depth = 1 and q.n <> '' and f.origin < q.turn group by all),
-r as (select conv_id, turn, arg_max(origin, {'chars': chars, 'origin': origin}) as reply_to from b group by all),
+  select *, len(head) - len(replace(head, '>', '')) as depth, trim(regexp_replace(lower(bare), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as n from d),
 i as (
-  select *, regexp_matches(line, '(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$')
-            and coalesce(lead(depth) over (partition by conv_id, turn order by nth), 0) > 0 as intro from q),
+  select *, regexp_matches(bare, '(?i)^.{{0,200}}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$')
+            and coalesce(lead(depth) over (partition by conv_id, turn order by nth), 0) > depth as intro from q),
+r as (
+  select *, case when lag(depth) over (partition by conv_id, turn order by nth) is distinct from depth then 1 else 0 end as starts from i where not intro),
+s as (select *, sum(starts) over (partition by conv_id, turn order by nth) as run from r),
+p as (select conv_id, turn, run, depth, string_agg(n, ' ' order by nth) filter (n <> '') as words from s group by all having words is not null),
+f as (select conv_id, words, depth as level, min(turn) as origin from p group by all),
+a as (select conv_id, turn, run, depth, words, unnest(case when depth = 1 then [0] else [0, depth - 1] end) as level from p where depth > 0),
+found as (select a.*, f.origin from a left join f on f.conv_id = a.conv_id and f.words = a.words and f.level = a.level and f.origin < a.turn),
+lost as (select conv_id, turn, depth, string_split(words, ' ') as w from found where level = 0 and origin is null),
+z as (select *, least(len(w), {WIDTH}) as width from lost where len(w) >= {LEAST}),
+ask as (select conv_id, turn, depth, width, len(w) as n, w, unnest(range(1, len(w) - width + 2)) as k from z),
+ask2 as (
+  select conv_id, turn, depth, width, array_to_string(w[k:k + width - 1], ' ') as g, case when k = n - width + 1 then len(array_to_string(w[k:k + width - 1], ' ')) else len(w[k]) end as chars from ask),
+o as (select conv_id, turn, string_split(words, ' ') as w, unnest(range({LEAST}, {WIDTH + 1})) as width from p where depth = 0),
+o2 as (select conv_id, turn, width, w, unnest(range(1, len(w) - width + 2)) as k from o where len(w) >= width),
+o3 as (select conv_id, width, array_to_string(w[k:k + width - 1], ' ') as g, min(turn) as origin from o2 group by all),
+every as (
+  select conv_id, turn, depth, level = depth - 1 as direct, origin, len(words) as chars from found where origin is not null
+  union all select x.conv_id, x.turn, x.depth, x.depth = 1, o3.origin, x.chars from ask2 x join o3 on o3.conv_id = x.conv_id and o3.width = x.width and o3.g = x.g and o3.origin < x.turn),
+links as (select conv_id, turn, depth, direct, origin, sum(chars) as chars from every group by all),
+best as (select conv_id, turn, arg_max(origin, {{'d': -depth, 'direct': direct, 'chars': chars, 'origin': origin}}) as reply_to from links group by all),
+wr as (select conv_id, turn, depth, arg_max(origin, {{'chars': chars, 'origin': origin}}) as origin from links where not direct or depth = 1 group by all),
+told as (select conv_id, turn, string_agg(depth || ':' || origin, ' ' order by depth) as quoted_from from wr group by all),
 t as (
   select conv_id, turn, count(*) filter (depth > 0) as n_quoted,
          regexp_replace(coalesce(string_agg(line, chr(10) order by nth) filter (depth = 0 and not intro), ''), '^\s+|\s+$', '', 'g') as text
   from i group by all),
-w as (select t.*, m.role, r.reply_to from t join m using (conv_id, turn) left join r using (conv_id, turn)),
-p as (
-  select conv_id, turn, lpad(turn::varchar, 19, '0') as path, 0::bigint as reply_depth from w where reply_to is null
-  union all
-  select w.conv_id, w.turn, p.path || '/' || lpad(w.turn::varchar, 19, '0'), p.reply_depth + 1
-  from p join w on w.conv_id = p.conv_id and w.reply_to = p.turn)
-select conv_id, turn, role, text, reply_to, reply_depth, path, n_quoted::bigint as n_quoted from w join p using (conv_id, turn)
+w as (select t.*, own.role, best.reply_to, coalesce(told.quoted_from, '') as quoted_from from t join own using (conv_id, turn) left join best using (conv_id, turn) left join told using (conv_id, turn)),
+place as (
+  select conv_id, turn, turn as thread, 0::bigint as reply_depth from w where reply_to is null
+  union all select w.conv_id, w.turn, place.thread, place.reply_depth + 1 from place join w on w.conv_id = place.conv_id and w.reply_to = place.turn)
+select conv_id, turn, role, text, reply_to, thread, reply_depth, quoted_from, n_quoted::bigint as n_quoted from w join place using (conv_id, turn)
 """
