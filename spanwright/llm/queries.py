@@ -66,8 +66,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, directory = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_archive(folder, directory)
+    """Every page written, then fetched by its URL's key through directory and blocks."""
+    pages = table(spark, sf_dir, "pages")
+    folder, directory = warc.archive(pages)
+    return warc.fetch(folder, directory, warc.keys(pages))
 
 
 QUERIES = {

@@ -4,8 +4,11 @@ Pages are written as gzip members of WARC files, one file per task. Of the pages
 equal payloads of ``LEAST`` bytes or more, the smallest page_id's is a response and the
 others revisit it. The index lists captures by reversed-host URL key: sorted lines are
 compressed in blocks of ``LINES``, and a sparse directory holds each block's first and last
-key and its place. A look-up searches the directory, reads one block's range, searches
-its lines, and reads just the record's range from the archive.
+key and its place; each index file has its own part of the directory beside it. A look-up
+searches the directory by halves, reads one block's range, searches its lines by halves, and
+reads just the record's range from the archive. :func:`fetch` does so for a table of keys: the
+first step finds the blocks, the second reads them, so that a key that fills many blocks is
+shared out by block.
 
 Files go to the folder that driver and executors share. A task that runs again writes files
 of its own, and only those of the attempt whose rows were kept are ever named, so lost
@@ -107,12 +110,19 @@ class _Files:
     def unzip(self, name: str, offset: int, length: int) -> bytes:
         return zlib.decompress(self.read(name, offset, length), 31)
 
+    def lines(self, name: str, offset: int | None = None, length: int | None = None) -> list[str]:
+        """The lines of a compressed block, or of a whole file."""
+        if offset is None:
+            with self.fs.open_input_stream(f"{self.path}/{name}", compression=None) as file:
+                return zlib.decompress(file.read(), 31).decode().split("\n")[:-1]
+        return self.unzip(name, offset, length).decode().split("\n")[:-1]
+
 
 class _Out:
     """A file that a task writes, opened with its first bytes; its name has the attempt's number."""
 
-    def __init__(self, folder: str, kind: str):
-        self.folder, self.name, self.at, self.file = folder, f"{kind}-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.gz", 0, None
+    def __init__(self, folder: str, kind: str, name: str | None = None):
+        self.folder, self.name, self.at, self.file = folder, name or f"{kind}-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.gz", 0, None
 
     def write(self, data: bytes) -> int:
         if self.file is None:
@@ -153,6 +163,10 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return settle(decided(pages, page_id, url, html).mapInArrow(run, "key string, page_id bigint, file string, offset bigint, length bigint"), "captures")
 
 
+def _directory(index: str) -> str:
+    return index.removesuffix(".gz") + ".directory.gz"
+
+
 def write_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFrame:
     """Write the blocks and return the directory: first_key, last_key, file, offset, length, n.
 
@@ -176,6 +190,10 @@ def write_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFra
         if held:
             block()
         out.close()
+        if blocks:
+            beside = _Out(folder, "directory", _directory(out.name))
+            beside.write(_zip("".join(f"{first}\t{last}\t{o}\t{n}\n" for first, last, _, o, n, _ in blocks).encode()))
+            beside.close()
         cols = list(zip(*blocks, strict=True)) if blocks else [()] * 6
         kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["first_key", "last_key", "file", "offset", "length", "n"])
@@ -193,25 +211,100 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
+def _records(files: _Files, spots: list[tuple[str, int, int]]) -> pa.RecordBatch:
+    rows = [(r["page_id"], r["length"], r["digest"], r["type"], r["refers_to"]) for r in (parse_record(files.unzip(*spot)) for spot in sorted(spots))]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def _spots(lines: list[str], key: str | None = None) -> list[tuple[str, int, int]]:
+    """Where the records of a block are, or those of one key, found by halves."""
+    own = lines if key is None else lines[bisect_left(lines, key + "\t") : bisect_left(lines, key + "\n")]
+    return [(f, int(o), int(n)) for _, _, f, o, n in (x.split("\t") for x in own)]
+
+
 def read_archive(folder: str, directory: DataFrame) -> DataFrame:
-    """The columns READ of every capture, from the records' ranges as the index blocks name them; each response's payload is hashed again."""
+    """The columns READ of every capture, block by block; each response's payload is hashed again."""
     parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         files = _Files(folder)
         for b in batches:
-            for name, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                spots = sorted((f, int(o), int(n)) for _, _, f, o, n in (x.split("\t") for x in files.unzip(name, offset, length).decode().split("\n")[:-1]))
-                rows = []
-                for f, o, n in spots:
-                    r = parse_record(files.unzip(f, o, n))
-                    rows.append((r["page_id"], r["length"], r["digest"], r["type"], r["refers_to"]))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            for place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield _records(files, _spots(files.lines(*place)))
 
     return directory.select("file", "offset", "length").repartition(parts).mapInArrow(run, READ)
 
 
+def keys(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(key) of the URLs of ``pages``, each once."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], ["key"])
+
+    return pages.select(F.col(url).cast("string").alias("url")).mapInArrow(run, "key string").distinct()
+
+
+def blocks_of(folder: str, directory: DataFrame, asked: DataFrame) -> DataFrame:
+    """(file, offset, length, keys): the blocks that may hold keys of ``asked`` (key), each with those keys, ``LINES`` at most a row.
+
+    Every task knows the first and last key of each index file, a row for each partition that
+    wrote one, and reads the directory's part of a file when a key leads there. Keys are dealt in
+    ranges, so that a task's keys lie in few files and those of a block side by side.
+    """
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = sorted((r.first, r.last, r.file) for r in directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect())
+    shared = asked.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        files, held, place, out = _Files(folder), [], None, []
+        firsts, lasts = [f for f, _, _ in shared.value], [x for _, x, _ in shared.value]
+        name, begins, ends, spots = None, [], [], []
+
+        def batch():
+            cols = zip(*out, strict=True) if out else [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file", "offset", "length", "keys"])
+
+        for b in batches:
+            for key in b.column(0).to_pylist():
+                for _, _, file in shared.value[bisect_left(lasts, key) : bisect_right(firsts, key)]:
+                    if file != name:
+                        name, rows = file, [x.split("\t") for x in files.lines(_directory(file))]
+                        begins, ends, spots = [r[0] for r in rows], [r[1] for r in rows], [(file, int(r[2]), int(r[3])) for r in rows]
+                    for spot in spots[bisect_left(ends, key) : bisect_right(begins, key)]:
+                        if spot != place or len(held) == LINES:
+                            if held:
+                                out.append((*place, held))
+                            place, held = spot, []
+                        held.append(key)
+            if len(out) >= 64:
+                yield batch()
+                out = []
+        if held:
+            out.append((*place, held))
+        yield batch()
+
+    ranged = asked.select("key").repartitionByRange(parts, "key").sortWithinPartitions("key")
+    return ranged.mapInArrow(run, "file string, offset bigint, length bigint, keys array<string>")
+
+
+def fetch(folder: str, directory: DataFrame, asked: DataFrame) -> DataFrame:
+    """The columns READ of every capture of the keys ``asked`` (key, each once); each response's payload is hashed again."""
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        files = _Files(folder)
+        for b in batches:
+            for *place, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = files.lines(*place)
+                yield _records(files, [spot for key in own for spot in _spots(lines, key)])
+
+    return blocks_of(folder, directory, asked).repartition(parts).mapInArrow(run, READ)
+
+
 def look_up(spark: SparkSession, folder: str, directory: DataFrame, urls: list[str]) -> dict[str, list[dict]]:
     """The records of a few URLs. Only directory rows of blocks that may hold a URL's key are fetched; in a block the lines are searched by halves."""
     keys = {u: url_key(u) for u in urls}
@@ -221,10 +314,7 @@ def look_up(spark: SparkSession, folder: str, directory: DataFrame, urls: list[s
     firsts, lasts = [b.first_key for b in blocks], [b.last_key for b in blocks]
     for u, key in keys.items():
         for b in blocks[bisect_left(lasts, key) : bisect_right(firsts, key)]:
-            lines = files.unzip(b.file, b.offset, b.length).decode().split("\n")[:-1]
-            for line in lines[bisect_left(lines, key + "\t") : bisect_left(lines, key + "\n")]:
-                _, _, f, o, n = line.split("\t")
-                found[u].append(parse_record(files.unzip(f, int(o), int(n))))
+            found[u] += [parse_record(files.unzip(*spot)) for spot in _spots(files.lines(b.file, b.offset, b.length), key)]
     return found
 
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from spanwright.llm.warc import archive, look_up, make_record, parse_record, read_archive, url_key
+from spanwright.llm.warc import archive, blocks_of, fetch, keys, look_up, make_record, parse_record, read_archive, url_key
 
 
 def rows():
@@ -32,6 +32,9 @@ def test_round_trip(spark, lines):
     key = lambda x: (str(x[0]), x[2], x[3])
     assert sorted(map(tuple, read_archive(folder, directory).collect()), key=key) == sorted(want(data), key=key)
     assert directory.agg({"n": "sum"}).first()[0] == len(data)
+    assert sorted(map(tuple, fetch(folder, directory, keys(pages)).collect()), key=key) == sorted(want(data), key=key)
+    some = spark.createDataFrame([(url_key(u),) for u in ("http://again.net/", "http://absent.org/", None, "zzz")], "key string").repartition(3)
+    assert sorted(str(r.page_id) for r in fetch(folder, directory, some).collect()) == sorted(str(i) for i, u, _ in data if u in ("http://again.net/", None))
     for url in ("http://again.net/", "http://hot.net/", "https://a.b1.com", "http://x y\t/\n%41", "http://absent.org/"):
         got = look_up(spark, folder, directory, [url, "http://other.absent/"])
         ids = sorted(str(r["page_id"]) for r in got[url])
@@ -43,7 +46,7 @@ def test_round_trip(spark, lines):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     folder, directory = archive(pages)
-    assert read_archive(folder, directory).count() == 0 and look_up(spark, folder, directory, ["http://a/"]) == {"http://a/": []}
+    assert read_archive(folder, directory).count() == fetch(folder, directory, keys(pages)).count() == 0 and look_up(spark, folder, directory, ["http://a/"]) == {"http://a/": []}
 
 
 def test_records():
@@ -64,3 +67,14 @@ def test_look_up_of_a_hot_url_with_a_later_key(spark):
     for by in (directory.last_key.asc(), directory.last_key.desc()):
         got = look_up(spark, folder, spark.createDataFrame(directory.orderBy(by).collect(), directory.schema).coalesce(1), ["http://hot.net/", "http://hot.net/z", "http://hot.net/zz"])
         assert {u: sorted(r["page_id"] for r in found) for u, found in got.items()} == {"http://hot.net/": list(range(40)), "http://hot.net/z": [100], "http://hot.net/zz": [101]}
+
+
+def test_only_blocks_that_may_hold_a_key_are_read(spark):
+    data = [(k, f"http://h{k:04d}.net/", f"page {k}") for k in range(500)] + [(1000 + k, "http://hot.net/", f"hot {k}") for k in range(300)]
+    folder, directory = archive(spark.createDataFrame(data, "page_id bigint, url string, html string"), lines=10)
+    asked = spark.createDataFrame([(url_key(u),) for u in ("http://h0007.net/", "http://h0008.net/", "http://hot.net/", "http://none.net/")], "key string")
+    found = blocks_of(folder, directory, asked).collect()
+    assert 31 <= len(found) <= 36 and directory.count() >= 80
+    spread = {(b.file, b.offset) for b in found if url_key("http://hot.net/") in b["keys"]}
+    assert 30 <= len(spread) <= 34
+    assert sorted(r.page_id for r in fetch(folder, directory, asked).collect()) == [7, 8, *range(1000, 1300)]
