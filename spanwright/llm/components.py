@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node of its component.
 
     Smallest labels go along edges, and each round also follows labels of labels, so
-    that a chain of n nodes needs about log2(n) rounds. Each round is written, and ends
-    the loop when it changed nothing. Loops and repeated edges are allowed; an empty
+    that chains shorten fast: a chain of 300 nodes took 9 rounds with ids in order, and no bound
+    for all graphs is claimed. Each round is written, and ends the loop when it changed nothing. Loops and repeated edges are allowed; an empty
     edge table gives an empty result.
     """
     both = edges.where("a <> b").select("a", "b")

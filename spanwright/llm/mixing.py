@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, settle
+from .common import WORD, named, settle
 
 #: Hash bits in all, and those that one histogram resolves.
 BITS, STEP = 60, 12
@@ -97,24 +97,25 @@ def plan(work: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -
     return settle(full.join(done, "k", "left").withColumn("threshold", F.coalesce("threshold", F.lit(-1))), "plan"), few
 
 
-def times() -> Column:
-    return F.col("rounds") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0)
+def times(most: int) -> Column:
+    """How often a document is taken; one of size 0 in a source that is taken ``most`` times isn't taken once more."""
+    return F.least(F.lit(most), F.col("rounds") + F.when(F.col("h") <= F.col("threshold"), 1).otherwise(0))
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     work = settle(measured(docs, doc_id, text, source), "measured")
     sources, few = plan(work, weights, most)
-    return _by_source(work, sources, few).select("doc_id", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
+    return _by_source(work, sources, few).select("doc_id", "size", "source_size", "target", (F.col("size") * times(most)).alias("taken"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (rows taken no time go)."""
     sources, few = plan(settle(measured(docs, doc_id, text, source), "measured"), weights, most)
     sources = sources.select(F.col("k").alias("_k"), "rounds", "threshold")
-    held = docs.select(F.struct(*docs.columns).alias("_row"), _key(F.col(source)).alias("_k"), hash60(F.col(doc_id)).alias("h"))
+    held = docs.select(F.struct(*named(docs)).alias("_row"), _key(F.col(source)).alias("_k"), hash60(F.col(doc_id)).alias("h"))
     held = held.join(F.broadcast(sources) if few else sources, "_k")
-    return held.select("_row", F.explode(F.array_repeat(F.lit(0), times().cast("int")))).select("_row.*")
+    return held.select("_row", F.explode(F.array_repeat(F.lit(0), times(most).cast("int")))).select("_row.*")
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import named, settle, small_batches
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -131,10 +131,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     away; only rows whose kept doc_id repeats are grouped.
     """
     found = settle(near_duplicates(docs, doc_id, text), "components").where("doc_id is not null")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
-    if again.isEmpty():
-        return kept
-    same = F.col(doc_id) == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id]))
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.struct(*named(docs)).alias("row"))
+    kept = rows.join(gone, "doc_id", "left_anti")
+    again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select("row.*")

@@ -64,3 +64,15 @@ def test_one_source_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s")], "doc_id bigint, text string, source string")
     assert sorted(map(tuple, mixture(docs).collect())) == [(1, 2, 3, 3.0, 2), (2, 1, 3, 3.0, 1)]
     assert mixture(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
+
+
+def test_empty_documents_of_a_source_taken_whole_rounds(spark):
+    docs = spark.createDataFrame([(k, "a b c" if k < 3 else "", "small") for k in range(40)] + [(100 + k, "w " * 500, "large") for k in range(5)], "doc_id bigint, text string, source string")
+    target = {r.doc_id: r.target / r.source_size for r in mixture(docs).collect()}
+    times = {r.doc_id: r["count"] for r in mix(docs).groupBy("doc_id").count().collect()}
+    assert target[0] == 3 and max(times.values()) <= 3 and all(times[k] == 3 for k in range(3))
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "x", "y", 2)], "doc_id bigint, text string, source string, _k string, `a.b` string, rounds int")
+    assert [tuple(r) for r in mix(docs).collect()] == [(1, "a b", "s", "x", "y", 2)]

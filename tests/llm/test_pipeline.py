@@ -65,3 +65,20 @@ def test_run(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() > 50
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_with_odd_rows(spark):
+    long = " ".join(f"{a}{b}" for a in WORDS["en"] for b in range(9000))
+    rows = [(1, long, "en", "a", len(long)), (2, None, None, None, None), (None, "the and that with from this have", "en", "a", 5), (None, "the and that with from this have", "en", "a", 5), (3, "", "de", "", 0), (4, "der und nicht dass mit auch eine", "de", "b", 5), (4, "der und nicht dass mit auch eine", "de", "b", 5), (5, "der und nicht dass mit auch eine", "de", None, 5)]
+    extra = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(*r, "x", 0.5, "y") for r in rows], f"{extra}, _row string, score double, `a.b` string")
+    kept = {"language ID": [None, None, 1, 4, 4, 5], "SimHash near-dedup": [None, None, 1, 4], "secret scans": [None, None, 1, 4]}
+    for name, stage in P.STAGES[:-1]:
+        for empty in (docs.limit(0), docs):
+            out = stage(spark, empty, "")
+            assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        if name in kept:
+            assert sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is not None, i)) == kept[name], name
+    packed = P.STAGES[-1][1](spark, docs, "").collect()
+    assert {p.doc_id for p in packed} == {r.doc_id for r in docs.collect()} and all(0 <= p.offset <= 2048 - p.length for p in packed)

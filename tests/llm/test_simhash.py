@@ -87,3 +87,8 @@ def test_near_duplicates_with_odd_rows(spark):
     assert sorted((x for x in kept if x is not None)) == sorted({w[2] for w in want if w[2] is not None})
     assert kept.count(None) == 2
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "a b c d e f", "g", "x", "y") for k in (3, 3, 4)] + [(9, "other words are here now", "g", "x", "y")], "doc_id bigint, text string, _gone string, `row` string, `a.b` string")
+    assert sorted(tuple(r) for r in keep_one(docs).collect()) == [(3, "a b c d e f", "g", "x", "y"), (9, "other words are here now", "g", "x", "y")]
