@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import LABELS, SCORED, SPAN
 from . import labels as L
+from .arrays import let
 
 NO_SPANS = f"array<{SPAN}>"
 
@@ -69,20 +70,31 @@ def matches(gold: Column, predicted: Column, tolerance: int, label_aware: bool =
     weight, then the first.
     """
     order = F.array_sort(F.transform(gold, lambda s, k: F.struct((-F.coalesce(s["weight"], F.lit(0.0))).alias("w"), k.alias("g"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+    told = F.transform(predicted, lambda s, k: F.struct(k.alias("k"), F.coalesce(s["weight"], F.lit(0.0)).alias("w"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
+    if not label_aware:
+        return _greedy(order, told, tolerance)
+    of = lambda spans, label: F.filter(spans, lambda s: s["label"] == label)
+    by_label = lambda both: F.flatten(F.transform(F.array_distinct(F.transform(both["g"], lambda s: s["label"])), lambda label: _greedy(of(both["g"], label), of(both["p"], label), tolerance)))
+    return let(F.struct(order.alias("g"), told.alias("p")), by_label)
 
-    def step(done: Column, g: Column) -> Column:
-        def rank(s: Column, k: Column) -> Column:
+
+def _greedy(order: Column, told: Column, tolerance: int) -> Column:
+    """Pairs of one label, or of any. A span that is taken leaves the list, so each gold span looks at free ones alone."""
+
+    def step(state: Column, g: Column) -> Column:
+        def rank(s: Column) -> Column:
             overlap = F.greatest(F.lit(0), F.least(s["end"], g["end"]) - F.greatest(s["start"], g["start"]))
             gap = F.when(overlap > 0, 0).otherwise(F.least(F.abs(s["end"] - g["start"]), F.abs(g["end"] - s["start"])))
-            fits = (gap <= tolerance) & ~F.exists(done, lambda m: m["p"] == k)
-            if label_aware:
-                fits = fits & (s["label"] == g["label"])
-            return F.when(fits, F.struct(overlap.alias("o"), (-gap).alias("n"), F.coalesce(s["weight"], F.lit(0.0)).alias("w"), (-k).alias("k")))
+            return F.when(gap <= tolerance, F.struct(overlap.alias("o"), (-gap).alias("n"), s["w"].alias("w"), (-s["k"]).alias("k")))
+
+        def taken(best: Column) -> Column:
+            pair = F.struct(g["g"].alias("g"), (-best["k"]).alias("p"))
+            return F.struct(F.when(best.isNull(), state["done"]).otherwise(F.array_append(state["done"], pair)).alias("done"), F.when(best.isNull(), state["free"]).otherwise(F.filter(state["free"], lambda s: s["k"] != -best["k"])).alias("free"))
 
-        best = F.array_max(F.filter(F.transform(predicted, rank), lambda x: x.isNotNull()))
-        return F.when(best.isNotNull(), F.array_append(done, F.struct(g["g"].alias("g"), (-best["k"]).alias("p")))).otherwise(done)
+        return let(F.array_max(F.transform(state["free"], rank)), taken)
 
-    return F.aggregate(order, F.array().cast("array<struct<g:int,p:int>>"), step)
+    start = F.struct(F.array().cast("array<struct<g:int,p:int>>").alias("done"), told.alias("free"))
+    return F.aggregate(order, start, step, lambda state: state["done"])
 
 
 def covered(spans: Column, length: Column) -> Column:

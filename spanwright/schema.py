@@ -62,6 +62,7 @@ ANCHOR_THRESHOLDS = {
     "HEALTH_MEDICAL": 0.20,
     "TRANSACTION_ASSET": 0.22,
 }
+# Fixed values as well: the characters trimmed, thresholds, quotas, label groups and patterns.
 TRIM_CHARACTERS = " \t\n\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~，。；：、（）【】《》“”‘’「」『』"
 COVERAGE, CRITICAL, FALSE_POSITIVES, TOLERANCE, WORST = 0.90, 1.0, 0.05, 2, 20
 SPLIT_SEED, DEVELOPMENT, HELDOUT = 1337, 0.02, 0.02
@@ -87,6 +88,7 @@ NUMERIC = r"\b(?:\d[\d\- ]{5,}\d)\b"
 GEOGRAPHIC = r"\b(?:street|st\.?|road|rd\.?|avenue|ave\.?|boulevard|blvd\.?|city|county|state|province|zip|postal|district|north|south|east|west)\b"
 AMBIGUOUS = r"\b(?:university|bank|hospital|inc\.?|corp\.?|company|agency|department|team|school|office|committee)\b"
 
+# Fixed values.
 #: Curricula: quotas in priority order; the last, filler, is the size aimed at.
 CURRICULA = {
     "shared_initialization": {"health": 18000, "transaction": 3000, "auth": 25000, "financial": 40000, "official": 55000, "digital": 35000, "demographic": 80000, "critical_risk": 90000, "long_text": 60000, "no_pii": 30000, "common": 150000, "filler": 300000},
