@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwright.operators import scoring as M
 from spanwright.operators import tagging as T
 from spanwright.operators import training as N
-from spanwright.operators.anchor import threshold_grid
+from spanwright.operators.anchor import moves, threshold_grid
 from spanwright.schema import CATEGORY_PRIORITY, RISK_PRIORITY, TAGS
 
 SPANS = "array<struct<start:int,end:int,label:string,risk_band:string,weight:double,critical_for_pcr:boolean>>"
@@ -96,10 +96,22 @@ def test_windows_and_prediction(spark):
             assert got["a"] == [("ann@example.org", "CONTACT"), ("10.0.0.1", "DIGITAL_ID"), ("1234 5678 1234 5678", "FINANCIAL_ACCOUNT")] or ("ann@example.org", "CONTACT") in got["a"]
 
 
-def test_threshold_grid():
-    grid = threshold_grid({"A": 0.5, "B": 0.94}, normal=(0.05, 0.1, 0.0), critical=(-0.5,), critical_labels={"B"}, floors={"A": 0.1, "B": 0.6})
-    assert grid == [{"A": 0.5, "B": 0.94}, {"A": 0.55, "B": 0.94}, {"A": 0.6, "B": 0.94}, {"A": 0.5, "B": 0.6}]
-    assert threshold_grid({"A": 0.94}, normal=(0.01, 0.02, 0.5), critical=(), critical_labels=set(), floors={"A": 0.0}) == [{"A": 0.94}, {"A": 0.95}]
+def test_threshold_grid(spark):
+    def grid(*told, **more):
+        out = {}
+        for r in threshold_grid(spark, *told, **more).collect():
+            out.setdefault(r.policy, {})[r.label] = r.threshold
+        return [out[k] for k in sorted(out)]
+
+    got = grid({"A": 0.5, "B": 0.94}, {"A": (0.05, 0.1, 0.0), "B": (-0.5,)}, {"A": 0.1, "B": 0.6})
+    assert got == [{"A": 0.5, "B": 0.94}, {"A": 0.55, "B": 0.94}, {"A": 0.6, "B": 0.94}, {"A": 0.5, "B": 0.6}]
+    assert grid({"A": 0.94}, {"A": (0.01, 0.02, 0.5)}, {"A": 0.0}) == [{"A": 0.94}, {"A": 0.95}]
+    assert grid({"A": 0.4}, {}, {"A": 0.0}) == [{"A": 0.4}]
+    r = random.Random(1)
+    for _ in range(300):
+        at, step = r.randint(0, 10000) / 10000, r.randint(-100000, 100000) / 200000
+        near = round(min(0.95, max(0.1, at + step)), 4)
+        assert moves(at, [step], 0.1, 0.95) == ([] if near == at else [near])
 
 
 def test_training(tmp_path):
@@ -121,3 +133,25 @@ def test_training(tmp_path):
         N.train_all(lambda s: records, tmp_path / "x", stages=stages, trainer=lambda *a: {})
     assert "plan" in N.train_all(lambda s: [], tmp_path, dry_run=True)
     assert np.isfinite(tagger.weights).all()
+
+
+def test_ranks_exchange_their_gradients(spark, tmp_path, monkeypatch):
+    records = [{"text": f"mail ann{k}@example.org now", "train_spans": [{"start": 5, "end": 20 + len(str(k)), "label": "CONTACT", "risk_band": "HIGH"}]} for k in range(12)]
+    stage = {"epochs": 2, "raw_batch_size": 2, "window_chunk_size": 64, "max_length": 64, "stride": 4, "learning_rate": 0.05}
+    summary = N.train_ranks(spark, 2)(records, stage, 5, None, tmp_path)
+    assert (summary["ranks"], summary["updates"], summary["epochs"], summary["rows"]) == (2, 6, 2, 12)
+
+    # The same by hand: each update takes the mean of the two ranks' slopes.
+    tagger, losses = N.LinearTagger(), 0.0
+    descent = N.AdamW(tagger.weights)
+    for epoch in range(2):
+        order = [N.rank_order(12, 5, epoch, 2, k) for k in range(2)]
+        for at in range(0, 6, 2):
+            both = [N.gradient(tagger, [records[k] for k in own[at : at + 2]], stage) for own in order]
+            slope = (both[0][1] + both[1][1]) / 2
+            losses += both[0][0] + both[1][0]
+            descent.step(slope * min(1.0, N.CLIP / (np.linalg.norm(slope) + 1e-6)), N.rate_at(descent.steps, 6, 0.05))
+    assert np.allclose(N.LinearTagger.load(tmp_path / "checkpoint.npz").weights, tagger.weights) and summary["loss"] == pytest.approx(losses / 12)
+    monkeypatch.setenv("WORLD_SIZE", "2")
+    with pytest.raises(ValueError, match="exchange"):
+        N.train_linear(records, stage, 5, None, tmp_path)
