@@ -166,9 +166,27 @@ def load_json(spark: SparkSession, path: str) -> dict:
     return found
 
 
-def file_table(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, sha256) of files, hashed where they are read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+#: Files up to so many bytes fit in one binary value.
+WHOLE = (1 << 31) - (1 << 16)
+
+
+def streamed_sha256(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file of any size, a buffer at a time."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    data = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(data)
+    finally:
+        data.close()
+
+
+def file_table(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(file, size, sha256) of files, hashed where they are read; those beyond ``whole`` bytes are streamed by the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where(F.col("length") <= whole).select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = [(r.path, r.length, streamed_sha256(spark, r.path)) for r in files.where(F.col("length") > whole).select("path", "length").collect()]
+    return small.unionByName(spark.createDataFrame(large, small.schema)) if large else small
 
 
 def verify_file(spark: SparkSession, path: str, sha256: str, size: int | None = None) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -47,6 +48,15 @@ def write_lines(rows: DataFrame, path: str, order: str | None = "row_idx") -> No
         fs.delete(whole, True)
 
 
+def write_shards(rows: DataFrame, folder: str, order: str = "row_idx") -> None:
+    """The column ``value`` as a folder of text files whose names and lines follow ``order``, written by all executors.
+
+    For outputs too large to go through one file: nothing passes the driver, and Spark's committer
+    leaves no part of a failed write. The folder must not exist yet.
+    """
+    rows.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(folder)
+
+
 def write_jsonl(rows: DataFrame, path: str, order: str | None = "row_idx", drop: tuple[str, ...] = ("row_idx",)) -> None:
     """All columns but ``drop`` as compact JSON lines; characters beyond ASCII stay as they are."""
     kept = [c for c in rows.columns if c not in drop]
@@ -66,10 +76,35 @@ def write_report(spark: SparkSession, path: str, report: dict, sort_keys: bool =
         raise OSError(f"can't rename to {path}")
 
 
+_own: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a folder of its own; a cluster, whose
+    executors would each write to their own disk, gets an error.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="spanwright-"))
+    return _own[0]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path where driver and executors share one: under spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once however often it is used, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_by(rows: DataFrame, folder: str, column: str) -> None:

@@ -44,6 +44,8 @@ def test_lines_across_splits(spark, tmp_path):
         out = str(tmp_path / "copy.jsonl")
         sinks.write_lines(jsonl.strict(spark, path, SAMPLE_ID).selectExpr("row_idx", "raw as value"), out)
         assert open(out).read() == open(path).read()
+        sinks.write_shards(jsonl.strict(spark, path, SAMPLE_ID).selectExpr("row_idx", "raw as value"), str(tmp_path / "shards"))
+        assert "".join(p.read_text() for p in sorted((tmp_path / "shards").glob("part-*"))) == open(path).read()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -76,6 +78,7 @@ def test_verified_files(spark, tmp_path):
     path = put(tmp_path / "f.json", [{"a": 1}])
     data = open(path, "rb").read()
     jsonl.verify_file(spark, path, hashlib.sha256(data).hexdigest(), len(data))
+    assert [tuple(r)[1:] for r in jsonl.file_table(spark, path, whole=3).collect()] == [(len(data), hashlib.sha256(data).hexdigest())]
     assert jsonl.load_json(spark, path) == {"a": 1}
     with pytest.raises(ValueError):
         jsonl.verify_file(spark, path, "0" * 64)
