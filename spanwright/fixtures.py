@@ -1,7 +1,7 @@
 """Annotated samples and predictions derived from ``documents``, the same in Spark and in DuckDB.
 
 Whole tokens (between blanks, line ends and tabs) that look like personal data, and long
-capitalised words, become annotations. Digits of a hash of the sample and the place decide
+or punctuated words, become annotations. Digits of a hash of the sample and the place decide
 what is left out, shifted, or labelled otherwise, so that every rule meets its cases.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.arrays import marked
 from .schema import EXPERTS, TAGS
+from .sources.sinks import settle
 
 # Fixed values, shared with the SQL below: token patterns with label and risk band.
 KINDS = (
@@ -22,9 +24,11 @@ KINDS = (
     (r"[A-Z][a-z]{10,12}", "ADDRESS_GEO", "MEDIUM"),
     (r"[A-Z][a-z]{8,9}", "DEMOGRAPHIC_PROFILE", "HIGH"),
     (r"[A-Z][a-z]{6,7}", "PERSON_NAME", "LOW"),
+    (r"[A-Z][a-z]{4}\.", "OFFICIAL_ID", "CRITICAL"),
+    (r"[a-z]{16,}", "TRANSACTION_ASSET", "CRITICAL"),
+    (r"[A-Z][a-z]{6},", "ACCOUNT_HANDLE", "MEDIUM"),
 )
 DROPPED = {"anchor": "01", "coverage": "0", "precision": "012"}
-_MARK = "\x01"
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -41,15 +45,6 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """``rows`` with cands: start, end, label, risk_band of every token of one of KINDS, in order."""
     pattern = r"(?<![^ \n\t])(?:" + "|".join(p for p, _, _ in KINDS) + r")(?![^ \n\t])"
-    pieces = F.split(F.regexp_replace(F.translate("text", _MARK, " "), pattern, f"{_MARK}$0{_MARK}"), _MARK)
-
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        hit = F.array(F.struct(state["at"].alias("start"), end.alias("end"), piece.alias("token")))
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.when(state["inside"], F.concat(state["found"], hit)).otherwise(state["found"]).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("found"))
-    found = F.aggregate(pieces, start, step, lambda s: s["found"])
 
     def named(c: Column) -> Column:
         label, band = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -58,16 +53,28 @@ def candidates(rows: DataFrame) -> DataFrame:
             label, band = F.when(fits, name).otherwise(label), F.when(fits, risk).otherwise(band)
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), label.alias("label"), band.alias("risk_band"))
 
-    return rows.withColumn("_found", found).withColumn("cands", F.transform("_found", named)).drop("_found")
+    return rows.withColumn("cands", F.transform(marked(F.col("text"), pattern), named))
+
+
+_found: dict[tuple, DataFrame] = {}
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples with their candidates. They are written once for a session and table, since finding them costs more than most queries; a table that changed is read again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    changed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed)
+    if key not in _found:
+        _found[key] = settle(candidates(samples(spark, sf_dir)), "candidates")
+    return _found[key]
 
 
 def _digit(h: Column, k: int) -> Column:
     return F.substring(h, k, 1)
 
 
-def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, source, text, pii_annotations."""
-    rows = candidates(samples(spark, sf_dir))
+def _annotations() -> Column:
+    """pii_annotations from sample_id and cands."""
     hashed = F.transform("cands", lambda c: F.struct(c.alias("c"), F.md5(F.concat_ws(":", "sample_id", c["start"].cast("string"))).alias("h")))
 
     def one(x: Column) -> Column:
@@ -80,53 +87,66 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(d(2) < "8", F.lower(F.replace(label, F.lit("_"), F.lit(" ")))).otherwise(label).alias("label"),
             c["risk_band"].alias("risk_band"),
             F.when(d(3) == "0", 0.0).when(d(3) != "1", weight).alias("weight"),
-            F.lit(None).cast("double").alias("pcr_weight"),
+            F.when(d(6) == "0", 0.0).when(d(6) < "8", weight / 2).alias("pcr_weight"),
             F.when(d(4) == "0", F.lit(False)).when(d(4) != "1", F.lit(True)).alias("pcr_in_scope"),
             F.when(d(5) != "0", c["risk_band"] == "CRITICAL").alias("critical_for_pcr"),
             F.array().cast("array<string>").alias("fine_labels"),
         )
 
-    return rows.withColumn("_h", hashed).select("sample_id", "source", "text", F.transform("_h", one).alias("pii_annotations"))
+    return F.transform(hashed, one)
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, source, text, pii_annotations."""
+    return found(spark, sf_dir).select("sample_id", "source", "text", _annotations().alias("pii_annotations"))
 
 
 def _hex(digit: Column) -> Column:
     return F.instr(F.lit("0123456789abcdef"), digit) - 1
 
 
-def predictions(spark: SparkSession, sf_dir: str, expert: str) -> DataFrame:
-    """sample_id, pred_spans (scored) of one expert."""
-    rows = candidates(samples(spark, sf_dir))
-    hashed = F.transform("cands", lambda c: F.struct(c.alias("c"), F.md5(F.concat_ws("|", F.lit(expert), "sample_id", c["start"].cast("string"))).alias("h")))
+def _predicted(expert: str) -> Column:
+    """An expert's scored spans from sample_id, text and cands."""
+    hashed = F.transform("cands", lambda c: F.struct(c.alias("c"), F.md5(F.concat_ws("|", F.lit(expert), "sample_id", c["start"].cast("string"))).alias("h"), F.length("text").alias("n")))
 
     def one(x: Column) -> Column:
         c, d = x["c"], lambda k: _digit(x["h"], k)
         start = c["start"] + F.when(d(2) == "0", 1).when(d(2) == "1", 2).when(d(2) == "2", 4).otherwise(0)
-        end = F.least(F.length("text"), c["end"] + F.when(d(3) == "0", -1).when(d(3) == "1", 3).otherwise(0))
-        return F.struct(F.when(start < end, start).otherwise(c["start"]).alias("start"), F.when(start < end, end).otherwise(c["end"]).alias("end"), F.when(d(4) == "0", "CONTACT").otherwise(c["label"]).alias("label"), ((F.instr(F.lit("0123456789abcdef"), d(5)) - 1) * 16 / 255.0 + (F.instr(F.lit("0123456789abcdef"), d(6)) - 1) / 255.0).alias("score"))
+        end = F.least(x["n"], c["end"] + F.when(d(3) == "0", -1).when(d(3) == "1", 3).otherwise(0))
+        return F.struct(F.when(start < end, start).otherwise(c["start"]).alias("start"), F.when(start < end, end).otherwise(c["end"]).alias("end"), F.when(d(4) == "0", "CONTACT").otherwise(c["label"]).alias("label"), (_hex(d(5)) * 16 / 255.0 + _hex(d(6)) / 255.0).alias("score"))
+
+    return F.transform(F.filter(hashed, lambda x: ~F.contains(F.lit(DROPPED[expert]), _digit(x["h"], 1))), one)
+
+
+def predictions(spark: SparkSession, sf_dir: str, expert: str) -> DataFrame:
+    """sample_id, pred_spans (scored) of one expert."""
+    return found(spark, sf_dir).select("sample_id", _predicted(expert).alias("pred_spans"))
+
 
-    kept = F.filter("_h", lambda x: ~F.contains(F.lit(DROPPED[expert]), _digit(x["h"], 1)))
-    return rows.withColumn("_h", hashed).select("sample_id", F.transform(kept, one).alias("pred_spans"))
+def beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, source, text, pii_annotations and each expert's spans_<expert>, in one pass."""
+    return found(spark, sf_dir).select("sample_id", "source", "text", _annotations().alias("pii_annotations"), *(_predicted(e).alias(f"spans_{e}") for e in EXPERTS))
 
 
 def all_predictions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {e: predictions(spark, sf_dir, e) for e in EXPERTS}
 
 
-def subtokens(rows: DataFrame) -> DataFrame:
-    """(sample_id, nth, start, end, target): each candidate as two tokens, with the tag number it should get."""
+def subtokens(rows: DataFrame, *kept: str) -> DataFrame:
+    """(sample_id, nth, start, end, target): each candidate as two tokens, with the tag number it should get; columns ``kept`` stay beside them."""
     tag = F.lit(0)
     for k, t in enumerate(TAGS):
         if t[:2] == "B-":
             tag = F.when(F.col("c.label") == t[2:], k).otherwise(tag)
-    each = rows.select("sample_id", F.posexplode("cands").alias("o", "c"))
+    each = rows.select("sample_id", *kept, F.posexplode("cands").alias("o", "c"))
     middle = F.col("c.start") + F.floor((F.col("c.end") - F.col("c.start")) / 2).cast("int")
     halves = F.array(F.struct((F.col("o") * 2).alias("nth"), F.col("c.start").alias("start"), middle.alias("end"), tag.alias("target")), F.struct((F.col("o") * 2 + 1).alias("nth"), middle.alias("start"), F.col("c.end").alias("end"), (tag + 1).alias("target")))
-    return each.select("sample_id", F.explode(halves).alias("t")).select("sample_id", "t.*")
+    return each.select("sample_id", *kept, F.explode(halves).alias("t")).select("sample_id", *kept, "t.*")
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, window, start, end, probs): windows of 8 tokens that share 2 with the one before."""
-    rows = subtokens(candidates(samples(spark, sf_dir)))
+    rows = subtokens(found(spark, sf_dir))
     own = F.floor(F.col("nth") / 8).cast("int")
     rows = rows.withColumn("window", F.explode(F.when((F.col("nth") % 8 < 2) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
     rows = rows.withColumn("h", F.md5(F.concat_ws("#", "sample_id", F.col("window").cast("string"), F.col("start").cast("string"))))
@@ -158,6 +178,7 @@ ann as (
   select sample_id, start, "end", name, risk_band, bw, text_len,
          case when substr(h, 2, 1) < '8' then lower(replace(name, '_', ' ')) else name end as label,
          case substr(h, 3, 1) when '0' then 0.0 when '1' then null else bw end::double as weight,
+         case when substr(h, 6, 1) = '0' then 0.0 when substr(h, 6, 1) < '8' then bw / 2 end::double as pcr_weight,
          case substr(h, 4, 1) when '0' then false when '1' then null else true end as pcr_in_scope,
          case when substr(h, 5, 1) <> '0' then risk_band = 'CRITICAL' end as critical_for_pcr
   from ann1),
@@ -166,9 +187,9 @@ train as (
          row_number() over (partition by sample_id order by start, "end", name) - 1 as k
   from ann where name not in ('CONTEXT_MISC', 'SOMETHING_ELSE') and pcr_in_scope and weight > 0),
 gold as (
-  select sample_id, start, "end", name as label, coalesce(weight, bw) as weight, coalesce(critical_for_pcr, risk_band = 'CRITICAL') as critical, text_len,
+  select sample_id, start, "end", name as label, coalesce(weight, pcr_weight, bw) as weight, coalesce(critical_for_pcr, risk_band = 'CRITICAL') as critical, text_len,
          (row_number() over (partition by sample_id order by start) - 1)::int as g
-  from ann where coalesce(pcr_in_scope, coalesce(weight, bw) > 0)),
+  from ann where coalesce(pcr_in_scope, coalesce(weight, pcr_weight, bw) > 0)),
 experts as (select unnest(['anchor', 'coverage', 'precision']) as expert, unnest(['01', '0', '012']) as dropped),
 pred0 as (select c.*, e.expert, e.dropped, md5(e.expert || '|' || sample_id || '|' || start) as h from cand c, experts e),
 pred1 as (

@@ -32,9 +32,15 @@ def check_complete(gold: DataFrame, predictions: Mapping[str, DataFrame]) -> Non
 def details(gold: DataFrame, predictions: Mapping[str, DataFrame], **policy) -> DataFrame:
     """Metrics of every expert on every gold row: the experts' rows are stacked, so gold is joined once."""
     stacked = reduce(DataFrame.unionByName, (p.select("sample_id", "pred_spans", F.lit(e).alias("expert")) for e, p in predictions.items()))
-    by = stacked.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("expert", "pred_spans"))).alias("by"))
-    rows = gold.join(by, "sample_id", "left").select(*gold.columns, F.explode(F.array(*(F.struct(F.lit(e).alias("expert"), F.element_at("by", e).alias("pred_spans")) for e in predictions))).alias("x")).select(*gold.columns, "x.*")
-    return sample_metrics(_positive(rows), **policy)
+    by = stacked.groupBy("sample_id").agg(*(F.max_by("pred_spans", F.when(F.col("expert") == e, 1)).alias(f"spans_{e}") for e in predictions))
+    return details_beside(gold.join(by, "sample_id", "left"), list(predictions), **policy)
+
+
+def details_beside(rows: DataFrame, experts: Sequence[str], **policy) -> DataFrame:
+    """As :func:`details`, of gold rows that have each expert's spans beside them (``spans_<expert>``); no shuffle."""
+    own = [c for c in rows.columns if c not in {f"spans_{e}" for e in experts}]
+    each = F.array(*(F.struct(F.lit(e).alias("expert"), F.col(f"spans_{e}").alias("pred_spans")) for e in experts))
+    return sample_metrics(_positive(rows.select(*own, F.explode(each).alias("x")).select(*own, "x.*")), **policy)
 
 
 def _positive(rows: DataFrame) -> DataFrame:

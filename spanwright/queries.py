@@ -19,6 +19,7 @@ from .operators import validation as V
 from .operators.anchor import threshold_grid
 from .schema import ANCHOR_THRESHOLDS, CRITICAL_LABELS, EXPERTS, LABELS, SAMPLE, TAGS, TRIM_CHARACTERS
 from .sources import jsonl, sinks
+from .sources.sinks import settle
 
 #: Curricula with quotas small enough to bind on small tables.
 SMALL = {
@@ -28,9 +29,9 @@ SMALL = {
 ROUTES = {f"src{k}": ("precision" if k % 2 else "coverage") for k in range(0, 20, 3)}
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.annotated(spark, sf_dir)
-    return rows.select("sample_id", L.source_prefix(F.col("sample_id")).alias("dataset"), "text", S.gold_spans(F.col("pii_annotations")).alias("gold"))
+def _gold(spark: SparkSession, sf_dir: str, *beside: str) -> DataFrame:
+    rows = X.beside(spark, sf_dir) if beside else X.annotated(spark, sf_dir)
+    return rows.select("sample_id", L.source_prefix(F.col("sample_id")).alias("dataset"), "text", S.gold_spans(F.col("pii_annotations")).alias("gold"), *beside)
 
 
 def _details(spark: SparkSession, sf_dir: str, expert: str = "anchor") -> DataFrame:
@@ -169,7 +170,7 @@ _FILL = (
 
 @query(_RESERVOIR + "select spec, bucket, sample_id, rank from res")
 def stable_reservoir(spark, sf_dir):
-    kept = C.reservoirs(C.bucketed(X.annotated(spark, sf_dir)), C.spec_table(spark, SMALL))
+    kept = C.reservoirs(settle(C.bucketed(X.annotated(spark, sf_dir)), "buckets"), C.spec_table(spark, SMALL))
     return kept.select("spec", "bucket", "sample_id", "rank")
 
 
@@ -208,9 +209,8 @@ tagged as (
 
 
 def _tokens(spark, sf_dir):
-    spans = A.training_records(X.annotated(spark, sf_dir)).select("sample_id", "train_spans")
-    tokens = X.subtokens(X.candidates(X.samples(spark, sf_dir))).groupBy("sample_id").agg(F.collect_list(F.struct("start", "end")).alias("t"))
-    return tokens.join(spans, "sample_id").select("sample_id", F.explode("t").alias("t"), "train_spans").select("sample_id", "t.*", "train_spans")
+    """Each candidate's two halves beside the spans of their sample; one row each way, no shuffle."""
+    return X.subtokens(X.found(spark, sf_dir).withColumn("train_spans", A.train_spans(X._annotations())), "train_spans").select("sample_id", "start", "end", "train_spans")
 
 
 @query(_ALIGNED + 'select sample_id, start::bigint as start, "end"::bigint as "end", label_id::bigint as label_id, round(loss_weight, 9) as loss_weight from tagged')
@@ -278,29 +278,37 @@ r1 as (select *, len(inside) - len(ltrim(inside, '{_TRIM}')) as l, len(trim(insi
        (case when n = 0 then "end" else start + l + n end)::bigint as "end", label from r1 where score >= {_THRESHOLDS}"""
 )
 def anchor_refine(spark, sf_dir):
-    rows = X.predictions(spark, sf_dir, "anchor").join(X.samples(spark, sf_dir), "sample_id")
+    rows = X.beside(spark, sf_dir).select("sample_id", "text", F.col("spans_anchor").alias("pred_spans"))
     return rows.select("sample_id", F.inline(S.refine(F.col("text"), F.col("pred_spans"), ANCHOR_THRESHOLDS, TRIM_CHARACTERS)))
 
 
-def _grid() -> list[dict[str, float]]:
-    return threshold_grid(ANCHOR_THRESHOLDS, normal=(-0.05, 0.05), critical=(-0.04, 0.04), critical_labels=set(CRITICAL_LABELS), floors=dict.fromkeys(LABELS, 0.2))
+STEPS = {label: (-0.04, 0.04, 0.04) if label in CRITICAL_LABELS else (-0.05, 0.0, 0.05) for label in LABELS}
 
 
-def _grid_rows() -> list[tuple[int, str, float]]:
-    return [(k, label, t) for k, policy in enumerate(_grid()) for label, t in policy.items()]
+def _grid(spark):
+    return threshold_grid(spark, ANCHOR_THRESHOLDS, STEPS, dict.fromkeys(LABELS, 0.2))
 
 
-@query(", grid as (select * from (values " + ", ".join(f"({k}, '{b}', {t})" for k, b, t in _grid_rows()) + ") t(policy, label, threshold)) select policy::bigint as policy, label, count(*)::bigint as n from pred join grid using (label) where expert = 'anchor' and score >= threshold group by all")
+_GRID = (
+    ", base as (select * from (values " + ", ".join(f"('{k}', {t}, {n})" for n, (k, t) in enumerate(ANCHOR_THRESHOLDS.items())) + ") t(label, was, ord)),"
+    " step as (select * from (values " + ", ".join(f"('{k}', {by}, {n})" for k, own in STEPS.items() for n, by in enumerate(own)) + """) t(label, plus, nth)),
+  moved as (select label, ord, min(nth) as nth, round(greatest(0.2, least(0.95, was + plus)), 4) as threshold from base join step using (label) group by all having threshold <> any_value(was)),
+  policies as (select row_number() over (order by ord, nth) as policy, label as moved, threshold as x from moved union all select 0, null, null),
+  grid as (select policy, label, (case when moved = label then x else was end)::double as threshold from policies, base)
+"""
+)
+
+
+@query(_GRID + "select policy::bigint as policy, label, count(*)::bigint as n from pred join grid using (label) where expert = 'anchor' and score >= threshold group by all")
 def threshold_sweep(spark, sf_dir):
     """How many spans each policy of the grid keeps; the grid (a policy for each label and step) is a small table."""
-    grid = spark.createDataFrame(_grid_rows(), "policy int, label string, threshold double")
     spans = X.predictions(spark, sf_dir, "anchor").select(F.inline("pred_spans"))
-    return spans.join(F.broadcast(grid), "label").where("score >= threshold").groupBy("policy", "label").agg(F.count(F.lit(1)).alias("n"))
+    return spans.join(F.broadcast(_grid(spark)), "label").where("score >= threshold").groupBy("policy", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(", grid as (select * from (values " + ", ".join(f"({k}, '{b}', {t})" for k, b, t in _grid_rows()) + ") t(policy, label, threshold)) select policy::bigint as policy, label, threshold::double as threshold from grid")
+@query(_GRID + "select policy::bigint as policy, label, threshold from grid")
 def threshold_policy_grid(spark, sf_dir):
-    return spark.createDataFrame(_grid_rows(), "policy int, label string, threshold double")
+    return _grid(spark)
 
 
 def _match_sql(tolerance: int, aware: bool, name: str, experts: str = "'anchor'") -> str:
@@ -468,9 +476,9 @@ aud as (
 
 
 def _audit(spark, sf_dir):
-    gold = D.with_split(_gold(spark, sf_dir), development=0.3, heldout=0.3).where("split <> 'training'")
+    gold = D.with_split(_gold(spark, sf_dir, *(f"spans_{e}" for e in EXPERTS)), development=0.3, heldout=0.3).where("split <> 'training'")
     gold = gold.withColumn("split", F.when(F.col("split") == "heldout", U.SPLITS["heldout"]).otherwise(F.col("split")))
-    return U.audit(U.details(gold, X.all_predictions(spark, sf_dir)))
+    return U.audit(U.details_beside(gold, EXPERTS))
 
 
 @query(_AUDIT + "select source, expert, split, rows, passes, round(pcr, 9) as pcr, round(coverage, 9) as coverage, round(critical, 9) as critical, round(fp_rate, 9) as fp_rate from aud")
@@ -502,11 +510,7 @@ _ROUTED = (
 
 
 def _routed(spark, sf_dir):
-    side = None
-    for e, rows in X.all_predictions(spark, sf_dir).items():
-        own = rows.select("sample_id", F.col("pred_spans").alias(f"spans_{e}"))
-        side = own if side is None else side.join(own, "sample_id")
-    return R.routed(side, list(EXPERTS), ROUTES)
+    return R.routed(X.beside(spark, sf_dir).select("sample_id", *(f"spans_{e}" for e in EXPERTS)), list(EXPERTS), ROUTES)
 
 
 @query(_ROUTED + "select sample_id, expert, len(spans)::bigint as n, coalesce(list_aggregate(list_transform(spans, lambda x: x.start), 'string_agg', ','), '') as starts, expert <> 'anchor' and spans is distinct from base as changed from rx")
@@ -520,38 +524,40 @@ def routing_stats(spark, sf_dir):
     return R.stats(_routed(spark, sf_dir))
 
 
-def _submission(spark, sf_dir):
-    """Anchor rows as JSON text, damaged by row number; the test rows they belong to."""
-    rows = X.predictions(spark, sf_dir, "anchor").join(X.samples(spark, sf_dir), "sample_id")
+def _submission(spark, sf_dir, gone=8, alone=9):
+    """Anchor rows as JSON text, damaged by row number; the test rows they belong to. Of 17 rows one has no submission (``gone``) and one no test row (``alone``)."""
+    rows = settle(X.beside(spark, sf_dir).select("sample_id", "text", F.col("spans_anchor").alias("pred_spans")), "submission")
     rows = rows.withColumn("row_idx", F.substring_index("sample_id", ":", -1).cast("bigint"))
     k = F.col("row_idx") % 17
     spans = F.transform("pred_spans", lambda s: F.struct(F.when(k == 1, s["start"] + 100000).otherwise(s["start"]).alias("start"), F.when(k == 2, s["start"]).otherwise(s["end"]).alias("end"), F.when(k == 3, F.lit("NOBODY")).otherwise(F.lower(s["label"])).alias("label")))
     spans = F.when(k == 4, F.concat(spans, F.slice(spans, 1, 1))).otherwise(spans)
     own = F.when(k == 5, F.lit("")).when(k == 6, F.lit("twice")).otherwise(F.col("sample_id"))
     line = F.when(k == 7, F.to_json(F.struct(own.alias("sample_id"), F.lit("none").alias("pred_spans")))).otherwise(F.to_json(F.struct(own.alias("sample_id"), spans.alias("pred_spans"))))
-    return rows.where(k != 8).select("row_idx", line.alias("value")), rows.where(k != 9).select("row_idx", "sample_id", "text")
+    return rows.where(k != gone).select("row_idx", line.alias("value")), rows.where(k != alone).select("row_idx", "sample_id", "text")
 
 
-@query(
-    """, b as (select sample_id, text, split_part(sample_id, ':', 3)::bigint as i, split_part(sample_id, ':', 3)::bigint % 17 as k from samples),
-    o as (select *, case k when 5 then '' when 6 then 'twice' else sample_id end as own from b where k <> 8),
+def _validated(gone: int, alone: int, expected: int) -> str:
+    return f""", b as (select sample_id, text, split_part(sample_id, ':', 3)::bigint as i, split_part(sample_id, ':', 3)::bigint % 17 as k from samples),
+    o as (select *, case k when 5 then '' when 6 then 'twice' else sample_id end as own from b where k <> {gone}),
     sp as (select o.k, o.sample_id, o.text, case k when 1 then p.start + 100000 else p.start end as a, case k when 2 then p.start else p."end" end as z, case k when 3 then 'NOBODY' else p.label end as l
            from o join pred p on p.sample_id = o.sample_id and p.expert = 'anchor' where k <> 7
            union all
            select o.k, o.sample_id, o.text, p.start, p."end", p.label from o join pred p on p.sample_id = o.sample_id and p.expert = 'anchor' and p.p = 0 where k = 4),
-    ok as (select *, l <> 'NOBODY' and a < z and (k = 9 or z <= len(text)) as fine from sp),
+    ok as (select *, l <> 'NOBODY' and a < z and (k = {alone} or z <= len(text)) as fine from sp),
     c as (select
       (select count(*) from o)::bigint as row_count,
       (select count(*) - count(distinct own) from o)::bigint as duplicate_submission_rows,
       (select count(*) from o where k = 7)::bigint as malformed_span_count,
       (select count(*) from ok where not fine)::bigint as illegal_or_invalid_span_count,
       (select count(*) - count(distinct (sample_id, a, z, l)) from ok where fine)::bigint as duplicate_span_count,
-      (select count(*) filter (own = '') + count(*) filter (k <> 9 and own <> sample_id) from o)::bigint as sample_id_mismatch_count,
-      (select count(*) from b where k = 8)::bigint as missing_prediction_rows,
-      (select count(*) from b where k = 9)::bigint as extra_prediction_rows,
-      (select abs(count(*) - 900) from o)::bigint as expected_row_count_mismatch)
+      (select count(*) filter (own = '') + count(*) filter (k <> {alone} and own <> sample_id) from o)::bigint as sample_id_mismatch_count,
+      (select count(*) from b where k = {gone})::bigint as missing_prediction_rows,
+      (select count(*) from b where k = {alone})::bigint as extra_prediction_rows,
+      (select abs(count(*) - {expected}) from o)::bigint as expected_row_count_mismatch)
     select *, false as strict_pass from c"""
-)
+
+
+@query(_validated(8, 9, 900))
 def validate_counters(spark, sf_dir):
     rows, test = _submission(spark, sf_dir)
     return V.counters(rows, test, expected_rows=900)
@@ -598,3 +604,6 @@ def bio_tags(spark, sf_dir):
 @query('select sample_id, ("window" // 4)::bigint as chunk, count(*)::bigint as n from win group by all')
 def window_chunks(spark, sf_dir):
     return T.window_chunks(X.windows(spark, sf_dir), 4).groupBy("sample_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import file_queries  # noqa: E402, F401  registers its queries beside these
