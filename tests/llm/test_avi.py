@@ -83,3 +83,50 @@ def test_features(spark):
     assert timed[0].start_s == 0 and abs(timed[-1].end_s - (1500000 // 576 + 1) / 25) < 1e-9
     assert all(a.end_frame + 1 == b.start_frame for a, b in zip(timed, timed[1:]))
     assert features(docs.limit(0)).count() == 0 and clips(media(docs.limit(0))).count() == 0
+
+
+def slow_encode(frame):
+    """One frame's JPEG, bit by bit, with its header written out."""
+    bits = ""
+    for s, v in enumerate(frame):
+        d = v - (128 if s == 0 else frame[s - 24] if s % 24 == 0 else frame[s - 1])
+        c = abs(d).bit_length()
+        bits += f"{c:04b}" + (f"{d if d > 0 else d + (1 << c) - 1:0{c}b}" if c else "")
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    head = "ffd8 ffc4001c00 00000009000000000000000000000000 000102030405060708 ffc3000b0800180018010111 00 ffda0008010100010000"
+    return bytes.fromhex(head.replace(" ", "")) + data + b"\xff\xd9"
+
+
+def slow_shots(frames):
+    grey = [[sum(v // 16 == b for v in f) for b in range(16)] for f in frames]
+    moved = [sum(abs(a - b) for a, b in zip(x, y)) for x, y in zip(grey, grey[1:])]
+    cuts = [0]
+    for t, m in enumerate(moved):
+        recent = moved[max(0, t - 8) : t]
+        mean = sum(recent) / len(recent) if recent else 0
+        usual = mean + 2 * (sum((x - mean) ** 2 for x in recent) / len(recent)) ** 0.5 if len(recent) >= 2 else 576
+        cuts += [t + 1] * (m > max(usual, 144))
+    ends = [*cuts[1:], len(frames)]
+    return ";".join(f"{a}-{z - 1}:{sum(map(sum, frames[a:z])) // ((z - a) * 576)}" for a, z in zip(cuts, ends))
+
+
+def test_whole_query_against_a_slow_program(spark):
+    r = random.Random(9)
+    rows = [(k, "".join(r.choice(["abc", "   ", "é", "~~", "\n"])[: r.randint(1, 3)] * r.randint(1, 400) for _ in range(r.randint(0, 25)))) for k in range(12)] + [(20, None), (21, "\x7f" * 1152)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got, files = {g.doc_id: g for g in features(docs).collect()}, {g.doc_id: bytes(g.avi) for g in media(docs).collect()}
+    for i, t in rows:
+        data = (t or "").encode()
+        whole = data + b"\xff" * (-len(data) % 576 or 576 * (not data))
+        frames = [whole[k : k + 576] for k in range(0, len(whole), 576)]
+        avi, jpegs = files[i], [slow_encode(f) for f in frames]
+        movi, index = avi.index(b"movi"), avi.index(b"idx1")
+        assert avi[:4] == b"RIFF" and int.from_bytes(avi[4:8], "little") == len(avi) - 8 and int.from_bytes(avi[index + 4 : index + 8], "little") == 16 * len(frames) == len(avi) - index - 8
+        for k, j in enumerate(jpegs):
+            entry = avi[index + 8 + 16 * k : index + 24 + 16 * k]
+            at, size = movi + int.from_bytes(entry[8:12], "little"), int.from_bytes(entry[12:], "little")
+            assert entry[:4] == avi[at : at + 4] == b"00dc" and avi[at + 8 : at + 8 + size] == j and slow_decode(j) == frames[k]
+        want = (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(avi), hashlib.sha256(avi).hexdigest(), slow_shots(frames))
+        assert tuple(got[i])[1:8] == want
+    assert max(g.n_clips for g in got.values()) > 1

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import xxhash
+
 from spanwright.llm import fingerprints as fp
 from spanwright.llm.fingerprints import _GEAR, chunk_ends, compare, edited, fingerprint, held, written
 
@@ -55,3 +57,31 @@ def test_compare(spark):
     assert compare(docs.limit(0)).count() == 0
     one = compare(docs.where("doc_id = 502")).collect()
     assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_whole_query_against_a_slow_program(spark):
+    """Chunks by the byte loop, digests, fingerprints and likenesses all made here."""
+
+    def chunks(text):
+        data, out, start = text.encode(), {}, 0
+        for end in slow_ends(data):
+            out.setdefault(xxhash.xxh64(data[start:end]).hexdigest()[:12], end - start)
+            start = end
+        return out
+
+    def likeness(a, b):
+        return sum(n for d, n in a.items() if d in b) / sum(a.values()) if a else float(not b)
+
+    r = random.Random(7)
+    shared = "".join(r.choice("etaoin shrdlu\né") for _ in range(1500))
+    rows = [(k, r.choice(["", shared, shared[300:]]) + "".join(r.choice("abcdefgh ij") for _ in range(r.randint(0, 700)))) for k in range(30)] + [(40, None), (41, "")]
+    got = {g.doc_id: g for g in compare(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        changed = t[: len(t) - half] + following[:half]
+        own, other, after = chunks(t), chunks(changed), chunks(following)
+        shown = lambda found: " ".join(f"{d}:{n}" for d, n in found.items())
+        assert tuple(got[i])[1:5] == (len(t), hashlib.sha256(changed.encode()).hexdigest(), shown(own), shown(other))
+        assert abs(got[i].near_edited - likeness(own, other)) < 1e-12 and abs(got[i].near_next - likeness(own, after)) < 1e-12
+    assert len({g.near_next for g in got.values()}) > 5
