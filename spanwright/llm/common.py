@@ -2,49 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.arrays import let, running  # noqa: F401  used by the operators
+from ..sources.sinks import settle, shared_root  # noqa: F401
 
 #: Word characters are everything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local session (tests) gets a folder of its own; a cluster, whose
-    executors would each write to their own disk, gets an error.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="spanwright-"))
-    return _fallback[0]
-
-
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the running tasks only, and what
-    follows sees the same rows however often it is run.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what an Arrow batch holds, so that long texts don't pile up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -85,12 +55,38 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once a row: what stands in a lambda beside its variable is computed for each element."""
-    return F.transform(F.array(value), use)[0]
+#: Keys that more than one in HOT rows have are hot, so there are fewer than HOT of them; each is dealt to SALTS places.
+HOT, SALTS = 1000, 64
 
 
-def running(lengths: Column) -> Column:
-    """The running sums of an array of numbers. Each round adds what stands 1, 2, 4, ... places before, so n numbers take n log n steps; a fold that appends would copy its array at each."""
-    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(lengths), F.lit(1)).cast("double"))).cast("int"))
-    return F.aggregate(rounds, lengths, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key, such that no key's rows meet in one task.
+
+    The keys are counted in ``counted`` (``rows`` themselves unless told). The hot ones, fewer than HOT, are
+    broadcast as bare keys; their rows are dealt to SALTS places, and their rows of ``table`` copied there.
+    """
+    seen = rows if counted is None else counted
+    counts = seen.groupBy(key).count()
+    hot = settle(counts.where(F.col("count") > F.lit(seen.count() / HOT)).select(key, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    salt = F.when(F.col("_hot"), F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    places = F.when(F.col("_hot"), F.array(*map(F.lit, range(SALTS)))).otherwise(F.array(F.lit(0)))
+    copied = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(places)).drop("_hot")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
+
+
+def ranked(rows: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``nth``, their number from 1 by ``order``, which tells all rows apart, and for each column c of ``sums`` the sum over the rows before, ``before_c``.
+
+    Ranges are numbered and summed side by side; what one task puts together is a row for each range.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = settle(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part").orderBy(*order)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
+    ranges = ranges.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_rows", *(f"_sum_{c}" for c in sums))))
+    own = [(F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"_sum_{c}")).alias(f"before_{c}") for c in sums]
+    return held.join(F.broadcast(ranges), "_part").select(*rows.columns, (F.row_number().over(inside) + F.col("_rows")).alias("nth"), *own)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, named, settle
+from .common import WORD, named, ranked, settle
 
 #: Hash bits in all, and those that one histogram resolves.
 BITS, STEP = 60, 12
@@ -51,18 +51,14 @@ def targets(work: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     its weight times one level, or its own limit if that is less. In the order of
     limit by weight, the level is that of the first source which it doesn't exceed.
     """
-    total = F.sum("source_size").over(Window.partitionBy())
-    by = work.groupBy("k").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("k") == "", "k")) - 1
-    by = by.select("k", "source_size", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).alias("w"), total.alias("total"))
-    limit = most * F.col("source_size")
-    order = Window.orderBy("ratio", "k")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("ratio", limit / F.col("w"))
-    rest = F.sum("w").over(Window.partitionBy()) - F.coalesce(F.sum("w").over(earlier), F.lit(0))
-    by = by.withColumn("level", (F.col("total") - F.coalesce(F.sum(limit).over(earlier), F.lit(0))) / rest).withColumn("nth", F.row_number().over(order))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))).over(Window.partitionBy())["level"]
-    return by.select("k", "source_size", F.least(F.col("w") * first, limit.cast("double")).alias("target"))
+    by = ranked(work.groupBy("k").agg(F.sum("size").alias("source_size")).withColumn("null", F.col("k") == ""), ["null", "k"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    by = by.select("k", "source_size", weight.alias("w"), (most * F.col("source_size")).alias("limit"), (most * F.col("source_size") / weight).alias("ratio"))
+    by = ranked(by, ["ratio", "k"], ("limit", "w"))
+    total, all_weights = by.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(total) - F.col("before_limit")) / (F.lit(all_weights) - F.col("before_w"))
+    first = by.select("nth", "ratio", level.alias("level")).where("level <= ratio").agg(F.min_by("level", "nth")).first()[0]
+    return by.select("k", "source_size", F.least(F.col("w") * F.lit(first).cast("double"), F.col("limit").cast("double")).alias("target"))
 
 
 def _by_source(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:

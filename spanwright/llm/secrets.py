@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, named, running, settle
+from .common import join_hot, let, named, running, settle
 
 # The base kinds in their order (pattern, the value's group), then the method's own kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -105,8 +105,8 @@ def _copied() -> Column:
 def verdicts(scanned: DataFrame) -> DataFrame:
     """(text_hash, live, n_live, n_copied) by text with candidates: the value spans of live credentials, and how many candidates are copied examples."""
     texts = scanned.where("text_hash is not null").groupBy("text_hash").agg(F.first("found").alias("found"))
-    each = texts.select("text_hash", F.inline("found")).withColumn("value_hash", F.sha2("value", 256))
-    judged = each.join(ownership(scanned), "value_hash")
+    each = settle(texts.select("text_hash", F.inline("found")).withColumn("value_hash", F.sha2("value", 256)), "values")
+    judged = join_hot(each, ownership(scanned), "value_hash")
     span = F.struct(F.col("vstart").alias("start"), F.lit(len(NAMES) - 1).alias("nth"), "end")
     by = judged.groupBy("text_hash").agg(F.collect_set(F.when(~_copied() & _credential(F.col("nth"), F.col("value")), span)).alias("live"), F.count_if(_copied()).alias("n_copied"))
     return by.select("text_hash", F.array_sort("live").alias("live"), F.size("live").cast("bigint").alias("n_live"), "n_copied")
@@ -119,7 +119,7 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner:
     """
     repo = F.col(doc_id) if repository is None else repository
     scanned = settle(scan(docs, doc_id, text, owner, repo), "scanned")
-    some = scanned.where("text_hash is not null").join(verdicts(scanned), "text_hash").select("doc_id", "found", "live", "n_live", "n_copied")
+    some = join_hot(scanned.where("text_hash is not null"), verdicts(scanned), "text_hash").select("doc_id", "found", "live", "n_live", "n_copied")
     none = scanned.where("text_hash is null").select("doc_id", "found", F.array().cast(BARE).alias("live"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_copied"))
     bare = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["nth"].alias("nth"), x["end"].alias("end")))
     both = some.unionByName(none).withColumn("found", bare)
@@ -151,11 +151,12 @@ def masked(text: Column, spans: Column, mask: str = "*") -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: Column | None = None, mask: str = "*") -> DataFrame:
     """``docs`` with every live credential masked in place, so that lengths and other spans hold; no row goes."""
     repo = F.col(doc_id) if repository is None else repository
-    live = verdicts(settle(scan(docs, doc_id, text, owner, repo), "scanned")).where("n_live > 0").select(F.col("text_hash").alias("_hash"), "live")
+    scanned = settle(scan(docs, doc_id, text, owner, repo), "scanned").withColumnRenamed("text_hash", "_hash")
+    live = verdicts(scanned.withColumnRenamed("_hash", "text_hash")).where("n_live > 0").select(F.col("text_hash").alias("_hash"), "live")
     maybe = F.coalesce(F.col(text).rlike("|".join(f"(?:{p})" for p in (ASSIGN.replace("(?i)", "(?i:") + ")", ACCESS, HEX, KEY))), F.lit(False))
     rows = docs.select(F.struct(*named(docs)).alias("_row"), maybe.alias("_maybe"))
     own = F.col("_row")[text]
-    hit = rows.where("_maybe").withColumn("_hash", F.sha2(own, 256)).join(live, "_hash", "left")
+    hit = join_hot(rows.where("_maybe").withColumn("_hash", F.sha2(own, 256)), live, "_hash", "left", scanned.where("_hash is not null"))
     hit = hit.select(F.col("_row").withField(text, masked(own, F.coalesce("live", F.array().cast(BARE)), mask)).alias("_row"))
     return rows.where("not _maybe").select("_row").unionByName(hit).select("_row.*")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, settle, small_batches
+from .common import join_hot, named, settle, small_batches
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(links(distinct.select("fp"), hot))
     grouped = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    return each.join(grouped.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return join_hot(each, grouped.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_or_arrow_fs, settle, shared_dir, small_batches, utf8
+from .common import local_or_arrow_fs, settle, shared_root, small_batches, utf8
 
 LEAST = 100
 LINES = 512
@@ -204,7 +204,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFra
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None, lines: int = LINES) -> tuple[str, DataFrame]:
     """Write pages and index; returns the folder and the directory."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_root(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return folder, write_index(write_archive(pages, folder, page_id, url, html), folder, lines)
 
 
