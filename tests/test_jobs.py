@@ -177,6 +177,10 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
     assert len(get(tmp_path / "eval" / "policy_details.jsonl")) == 300
     assert json.load(open(tmp_path / "eval" / "policy_summary.json"))["n_samples"] == 300
 
+    for s in ("shared_initialization",):
+        assert J.main(["train", "--curriculum", str(tmp_path / "cur" / "small.jsonl"), "--output", str(tmp_path / "model"), "--stage", s, "--ranks", "2"], spark) == 0
+    assert json.load(open(tmp_path / "model" / "training_summary.json"))["ranks"] == 2
+    assert J.main(["train-all", "--curricula", "c", "--output", "o", "--dry-run"], spark) == 0
     assert J.main(["validate", "--submission", str(tmp_path / "sub.jsonl"), "--test", test], spark) == 0
     assert J.main(["validate", "--submission", str(tmp_path / "sub.jsonl"), "--expected-rows", "5"], spark) == 1
     assert '"row_count": 300' in capsys.readouterr().out
