@@ -326,9 +326,9 @@ def annotate(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[
             texts = b.column(place).to_pylist()
             found = labeller.judge(texts) if labeller else [(UNKNOWN, 0.0, 0, 0, 0)] * len(texts)
             columns = [pa.array([f[k] for f in found], kind) for k, (_, _, kind) in enumerate(ADDED)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], schema.names)
 
-    return docs.mapInArrow(run, schema), names
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema), names  # names with dots can't be handed over
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
