@@ -4,6 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from spanwright.llm.common import settle
 from spanwright.llm.components import components
 from spanwright.llm.simhash import fingerprint, keep_one, links, near_duplicates
 
@@ -68,6 +69,18 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_shuffled_chains_trees_and_loops(spark, monkeypatch):
+    r, written = random.Random(2), []
+    monkeypatch.setattr("spanwright.llm.components.settle", lambda df, name: written.append(name) or settle(df, name))
+    ids = r.sample(range(-5000, 5000), 1500)
+    edges = [(a, b) for a, b in zip(ids[:1000], ids[1:1000])]
+    edges += [(ids[k], ids[r.randrange(1000, k)]) for k in range(1001, 1400)] + [(ids[k], ids[k + 1 if k < 1449 else 1400]) for k in range(1400, 1450)]
+    edges += [(7777, 7777), *edges[:5], *((b, a) for a, b in edges[:5])]
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {i: min(part) for part in (ids[:1000], ids[1000:1400], ids[1400:1450]) for i in part}
+    assert got == want and written.count("labels") <= 15
+
+
 def test_near_duplicates_with_odd_rows(spark):
     r = random.Random(5)
     words = [f"w{k}" for k in range(400)]
