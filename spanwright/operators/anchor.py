@@ -12,10 +12,9 @@ from ..functions.spans import refine
 from ..schema import ANCHOR_THRESHOLDS, TRIM_CHARACTERS
 
 
-def refined(samples: DataFrame, scored: DataFrame, thresholds: Mapping[str, float] = ANCHOR_THRESHOLDS, trim: str = TRIM_CHARACTERS) -> DataFrame:
-    """Prediction rows (sample_id, pred_spans) from scored spans of the same samples."""
-    rows = samples.select("sample_id", F.coalesce("text", F.lit("")).alias("text")).join(scored.select("sample_id", "pred_spans"), "sample_id")
-    return rows.select("sample_id", refine(F.col("text"), F.col("pred_spans"), thresholds, trim).alias("pred_spans"))
+def refined(scored: DataFrame, thresholds: Mapping[str, float] = ANCHOR_THRESHOLDS, trim: str = TRIM_CHARACTERS) -> DataFrame:
+    """``scored`` (text, pred_spans with scores and others) with refined pred_spans."""
+    return scored.withColumn("pred_spans", refine(F.coalesce("text", F.lit("")), F.col("pred_spans"), thresholds, trim))
 
 
 def moves(at: float, steps: Iterable[float], floor: float, ceiling: float) -> list[float]:

@@ -4,8 +4,10 @@ import json
 import pytest
 from pyspark.sql import types as T
 
+from spanwright import file_queries
 from spanwright.operators import validation as V
 from spanwright.plans import commands as J
+from spanwright.queries import QUERIES
 from spanwright.sources import jsonl, sinks
 
 SAMPLE_ID = T.StructType([T.StructField("sample_id", T.StringType())])
@@ -184,3 +186,24 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
     assert J.main(["validate", "--submission", str(tmp_path / "sub.jsonl"), "--test", test], spark) == 0
     assert J.main(["validate", "--submission", str(tmp_path / "sub.jsonl"), "--expected-rows", "5"], spark) == 1
     assert '"row_count": 300' in capsys.readouterr().out
+
+
+def test_inference_keeps_every_row(spark, tmp_path):
+    """Rows without an id, and rows of equal ids, each have a line of their own."""
+    texts = ["mail ann@example.org", "", "mail bob@example.org now", None, "10.0.0.1"]
+    rows = [{"sample_id": i, "text": x} for i, x in zip(["a", "b", None, None, "a"], texts)]
+    test = put(tmp_path / "odd.jsonl", [json.dumps(r) for r in rows])
+    for mode in ("scored", "expert", "anchor"):
+        J.infer(spark, test, str(tmp_path / f"{mode}.jsonl"), mode=mode)
+        found = get(tmp_path / f"{mode}.jsonl")
+        assert [f["sample_id"] for f in found] == ["a", "b", None, None, "a"]
+        assert [[x["label"] for x in f["pred_spans"]] for f in found] == [["CONTACT"], [], ["CONTACT"], [], ["DIGITAL_ID"]]
+        assert all(("score" in x) == (mode == "scored") for f in found for x in f["pred_spans"])
+
+
+def test_inference_reads_texts_alone(spark, tmp_path, monkeypatch):
+    """The query makes no annotations and no other job's files."""
+    monkeypatch.setattr(file_queries.X, "found", lambda *a: pytest.fail("candidates were made"))
+    monkeypatch.setattr(file_queries, "_made", {})
+    rows = QUERIES["infer_job"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 200 and [r.row_idx for r in sorted(rows)] == list(range(200))
