@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import let, settle
 
 _QUOTE = r"^(?:[ \t]*>)+[ \t]?"
 #: A line that announces a quote below it.
@@ -35,6 +35,10 @@ _INTRO = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$"
 #: Words of a passage's shingles; a passage of fewer words, but LEAST, is one shingle.
 WIDTH, LEAST = 5, 3
 _SHINGLE = "array<struct<hash:bigint,chars:bigint>>"
+#: Shingles asked for in a conversation that may go to each of its passages.
+HELD = 4096
+#: Turns of a conversation that are sent as mail together; a power of two.
+BLOCK = 64
 
 
 def _key(column: Column) -> Column:
@@ -47,38 +51,66 @@ def _id(key: str) -> Column:
 
 
 def depth(line: Column) -> Column:
-    head = F.regexp_extract(line, _QUOTE, 0)
+    return _depth(_head(line))
+
+
+def _head(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit(">")), F.regexp_extract(line, _QUOTE, 0)).otherwise("")
+
+
+def _depth(head: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit(">")))
 
 
-def normal(line: Column) -> Column:
-    """Lower case, letters and digits alone, single spaces: what a quote may have changed goes."""
-    bare = F.regexp_replace(line, _QUOTE, "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
+def normal(text: Column) -> Column:
+    """Lower case, letters and digits alone, single spaces: what a quote may have changed goes, line breaks too."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+
+
+def messages_of(messages: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conv, turn, role, lines) of each message; texts are moved only where several rows make one message."""
+    rows = messages.select(_key(F.col(conv_id)).alias("conv"), _key(F.col(turn)).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    twice = settle(rows.groupBy("conv", "turn").count().where("count > 1").select("conv", "turn"), "twice")
+    alone = rows.select("conv", "turn", "role", _lines(F.col("text")).alias("lines"))
+    if twice.isEmpty():
+        return alone
+    put = F.flatten(F.transform(F.collect_list(_lines(F.col("text"))), lambda own: F.transform(own, lambda line, nth: F.struct(nth.alias("nth"), line.alias("line")))))
+    merged = rows.join(twice, ["conv", "turn"], "left_semi").groupBy("conv", "turn").agg(F.min("role").alias("role"), F.transform(F.array_sort(put), lambda x: x["line"]).alias("lines"))
+    return alone.join(twice, ["conv", "turn"], "left_anti").unionByName(merged)
 
 
-def lines(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn, nth, line, depth, normal, intro) of every line; ``intro`` lines announce a deeper one below."""
-    rows = messages.select(_key(F.col(conv_id)).alias("conv"), _key(F.col(turn)).alias("turn"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("nth", "line"))
-    rows = rows.withColumn("depth", depth(F.col("line"))).withColumn("normal", normal(F.col("line")))
-    following = F.lead("depth").over(Window.partitionBy("conv", "turn").orderBy("nth", "line"))
-    bare = F.regexp_replace("line", _QUOTE, "")
-    return rows.withColumn("intro", bare.rlike(_INTRO) & (F.coalesce(following, F.lit(0)) > F.col("depth")))
+def parsed(messages: DataFrame) -> DataFrame:
+    """(conv, turn, role, text, n_quoted, passages) of messages with their ``lines``, each row by itself.
 
+    ``text`` is what no line quotes or announces a quote; ``passages`` has (depth, words, hash) of
+    those with a word, ``words`` as one string. Every step takes time in proportion to the lines.
+    """
+
+    def marked(own: Column) -> Column:
+        head = F.transform(own, lambda x: F.struct(x.alias("line"), _head(x).alias("head")))
+        return F.transform(head, lambda x: F.struct(x["line"].alias("line"), _depth(x["head"]).alias("depth"), F.substr(x["line"], F.length(x["head"]) + 1).alias("bare")))
+
+    def said(seen: Column) -> Column:
+        intro = lambda x, k: (F.coalesce(F.get(seen, k + 1)["depth"], F.lit(0)) > x["depth"]) & x["bare"].rlike(_INTRO)
+        return let(F.filter(seen, lambda x, k: ~intro(x, k)), lambda kept: let(F.filter(F.sequence(F.lit(0), F.size(kept) - 1), lambda k: (F.size(kept) > 0) & (k >= 0) & ((k == 0) | (F.get(kept, k - 1)["depth"] != F.get(kept, k)["depth"]))), lambda starts: told(seen, kept, starts)))
+
+    def told(seen: Column, kept: Column, starts: Column) -> Column:
+        own = F.array_join(F.transform(F.filter(kept, lambda x: x["depth"] == 0), lambda x: x["line"]), "\n")
+        run = lambda k, i: F.slice(kept, k + 1, F.coalesce(F.get(starts, i + 1), F.size(kept)) - k)
+        whole = F.transform(starts, lambda k, i: F.struct(F.get(kept, k)["depth"].alias("depth"), normal(F.array_join(F.transform(run(k, i), lambda x: x["bare"]), "\n")).alias("words")))
+        passages = F.transform(F.filter(whole, lambda p: p["words"] != ""), lambda p: F.struct(p["depth"].alias("depth"), p["words"].alias("words"), F.xxhash64(p["words"]).alias("hash")))
+        return F.struct(F.regexp_replace(own, r"^\s+|\s+$", "").alias("text"), F.size(F.filter(seen, lambda x: x["depth"] > 0)).cast("bigint").alias("n_quoted"), passages.alias("passages"))
 
-def passages(seen: DataFrame) -> DataFrame:
-    """(conv, turn, run, depth, words, hash) of every passage with a word; ``words`` is an array."""
-    order = Window.partitionBy("conv", "turn").orderBy("nth", "line")
-    rows = seen.where("not intro").withColumn("before", F.lag("depth").over(order))
-    run = F.count_if(F.col("before").isNull() | (F.col("before") != F.col("depth"))).over(order)
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line", "normal"))), lambda x: x["normal"]), " ")
-    whole = rows.withColumn("run", run).groupBy("conv", "turn", "run", "depth").agg(F.filter(F.split(told, " "), lambda w: w != "").alias("words"))
-    return whole.where(F.size("words") > 0).withColumn("hash", F.xxhash64(F.array_join("words", " ")))
+    told_of = let(marked(F.col("lines")), said)
+    return messages.select("conv", "turn", "role", F.inline(F.array(told_of)))
 
 
-def _shingles(width: int) -> Column:
-    """(hash, chars) of the shingles of ``width`` words of column ``words``; chars are those of the words that no earlier shingle of it starts with."""
-    words = F.col("words")
+def _shingles(words: Column, width: int) -> Column:
+    """(hash, chars) of the shingles of ``width`` words of an array; chars are those of the words that no earlier shingle of it starts with."""
 
     def one(k: Column) -> Column:
         text = F.array_join(F.slice(words, k, width), " ")
@@ -89,29 +121,54 @@ def _shingles(width: int) -> Column:
     return F.coalesce(F.transform(starts, one), F.array().cast(_SHINGLE))
 
 
-def parts(whole: DataFrame, lost: DataFrame) -> DataFrame:
-    """(conv, turn, depth, origin, chars): messages whose unquoted passages the quoted passages ``lost`` are parts of."""
-    short = F.concat(_shingles(WIDTH), *(F.when(F.size("words") == n, _shingles(n)).otherwise(F.array().cast(_SHINGLE)) for n in range(LEAST, WIDTH)))
-    asked = lost.select("conv", "turn", "depth", F.inline(short)).groupBy("conv", "turn", "depth", "hash").agg(F.sum("chars").alias("chars"))
-    written = whole.where("depth = 0").join(lost.select("conv").distinct(), "conv", "left_semi")
-    first = written.select("conv", "turn", F.inline(F.concat(*(_shingles(n) for n in range(LEAST, WIDTH + 1))))).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+def _hashes(words: Column, width: int) -> Column:
+    """The hashes of :func:`_shingles` alone, of as many arrays of words as conversations ask for shingles of that width."""
+    starts = F.when(F.col(f"asks{width}") & (F.size(words) >= width), F.sequence(F.lit(1), F.size(words) - width + 1))
+    return F.coalesce(F.transform(starts, lambda k: F.xxhash64(F.lit(width), F.array_join(F.slice(words, k, width), " "))), F.array().cast("array<bigint>"))
+
+
+def parts(whole: DataFrame, lost: DataFrame, held: int = HELD) -> DataFrame:
+    """(conv, turn, depth, origin, chars): messages whose unquoted passages the quoted passages ``lost`` are parts of.
+
+    Few shingles are asked for beside those that are written. Where a conversation asks for
+    ``held`` at most, they go to its passages, and only those that are found there are listed;
+    in others all written ones of the widths asked for are, and meet those asked for by their hash.
+    """
+    words, widths = F.split("words", " "), range(LEAST, WIDTH + 1)
+    size = F.size(F.split("words", " "))
+    short = let(words, lambda w: F.concat(_shingles(w, WIDTH), *(F.when(F.size(w) == n, _shingles(w, n)).otherwise(F.array().cast(_SHINGLE)) for n in range(LEAST, WIDTH))))
+    asked = lost.select("conv", "turn", "depth", F.least(size, F.lit(WIDTH)).alias("width"), F.inline(short)).groupBy("conv", "turn", "depth", "width", "hash").agg(F.sum("chars").alias("chars"))
+    asked = settle(asked, "asked")
+    flags = [F.bool_or(F.col("width") == n).alias(f"asks{n}") for n in widths]
+    counts = settle(asked.groupBy("conv").agg(F.count(F.lit(1)).alias("n"), *flags), "asking")
+    some, many = counts.where(F.col("n") <= held).drop("n"), counts.where(F.col("n") > held).drop("n")
+    wanted = asked.join(some, "conv").groupBy("conv", *(f"asks{n}" for n in widths)).agg(F.collect_set("hash").alias("wanted"))
+    written = whole.where("depth = 0").select("conv", "turn", "words")
+    every = let(words, lambda w: F.concat(*(_hashes(w, n) for n in widths)))
+    found = written.join(wanted, "conv").select("conv", "turn", F.explode(F.array_intersect(every, F.col("wanted"))).alias("hash"))
+    if not many.isEmpty():
+        found = found.unionByName(written.join(many, "conv").select("conv", "turn", F.explode(F.array_distinct(every)).alias("hash")))
+    first = found.groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
     return asked.join(first, ["conv", "hash"]).where(F.col("origin") < F.col("turn")).select("conv", "turn", "depth", "origin", "chars")
 
 
-def links(whole: DataFrame) -> DataFrame:
+def links(whole: DataFrame, held: int = HELD) -> DataFrame:
     """(conv, turn, depth, direct, origin, chars): of each message's passages of each depth the earlier messages that they come from.
 
+    ``whole`` has (conv, turn, depth, words, hash) of each passage.
     ``direct`` links lead to the message that a passage was quoted from, others to its writer; at depth 1 these are the same.
-    However often a passage is used or quoted, each quoted one meets one original at each level.
+    However often a passage is used or quoted, each quoted one meets one original at each level. Its words
+    go only where the writer's is looked up, as they may be needed there.
     """
     first = whole.groupBy("conv", "hash", F.col("depth").alias("level")).agg(F.min("turn").alias("origin"))
     levels = F.when(F.col("depth") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("depth") - 1))
-    asked = whole.where("depth > 0").withColumn("chars", F.length(F.array_join("words", " ")).cast("bigint")).withColumn("level", F.explode(levels))
-    found = settle(asked.join(first, ["conv", "hash", "level"], "left").withColumn("met", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False))), "quoted")
+    asked = whole.where("depth > 0").select("conv", "turn", "depth", "hash", "words", F.length("words").cast("bigint").alias("chars"), F.explode(levels).alias("level")).withColumn("words", F.when(F.col("level") == 0, F.col("words")))
+    found = asked.join(first, ["conv", "hash", "level"], "left").withColumn("met", F.coalesce(F.col("origin") < F.col("turn"), F.lit(False)))
+    found = settle(found.where("met or level = 0").withColumn("words", F.when(~F.col("met"), F.col("words"))), "quoted")
     met = found.where("met").select("conv", "turn", "depth", (F.col("level") == F.col("depth") - 1).alias("direct"), "origin", "chars")
-    lost = found.where("level = 0 and not met").select("conv", "turn", "depth", "words")
+    lost = found.where("not met").select("conv", "turn", "depth", "words")
     if not lost.isEmpty():
-        met = met.unionByName(parts(whole, lost).withColumn("direct", F.col("depth") == 1))
+        met = met.unionByName(parts(whole, lost, held).withColumn("direct", F.col("depth") == 1))
     return met.groupBy("conv", "turn", "depth", "direct", "origin").agg(F.sum("chars").alias("chars"))
 
 
@@ -138,20 +195,16 @@ def places(replies: DataFrame) -> DataFrame:
     return state.select("conv", "turn", "thread", "reply_depth")
 
 
-def threads(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def threads(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", held: int = HELD) -> DataFrame:
     """conv_id, turn, role, text (without quotes), reply_to, thread, reply_depth, quoted_from, n_quoted of each message.
 
     Rows are sorted by conversation, thread, reply depth and turn over all partitions; a long
     conversation spreads over as many ranges as it needs.
     """
-    seen = settle(lines(messages, conv_id, turn, text), "lines")
-    kept = F.array_sort(F.collect_list(F.when((F.col("depth") == 0) & ~F.col("intro"), F.struct("nth", "line"))))
-    body = F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    bodies = seen.groupBy("conv", "turn").agg(body.alias("text"), F.count_if(F.col("depth") > 0).alias("n_quoted"))
-    roles = messages.groupBy(_key(F.col(conv_id)).alias("conv"), _key(F.col(turn)).alias("turn")).agg(F.min(F.col(role)).alias("role"))
-    linked = answers(links(settle(passages(seen), "passages")))
-    whole = settle(bodies.join(roles, ["conv", "turn"]).join(linked, ["conv", "turn"], "left"), "messages")
-    placed = whole.join(places(whole.select("conv", "turn", "reply_to")), ["conv", "turn"])
+    each = settle(parsed(messages_of(messages, conv_id, turn, role, text)), "messages")
+    linked = answers(links(each.select("conv", "turn", F.inline("passages")), held))
+    whole = settle(each.select("conv", "turn").join(linked, ["conv", "turn"], "left"), "answers")
+    placed = each.drop("passages").join(whole.join(places(whole.select("conv", "turn", "reply_to")), ["conv", "turn"]), ["conv", "turn"])
     count = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = placed.select(_id("conv").alias("conv_id"), _id("turn").alias("turn"), "role", "text", _id("reply_to").alias("reply_to"), _id("thread").alias("thread"), "reply_depth", F.coalesce("quoted_from", F.lit("")).alias("quoted_from"), "n_quoted")
     order = ("conv_id", "thread", "reply_depth", "turn")
@@ -163,11 +216,16 @@ def as_mail(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
 
     Digits of a hash of conversation and turn tell how many, whether quoted texts are whole, wrapped anew
     every 8 words or cut after 12, and whether the nearest one was trimmed away. A message's own text, quotes and
-    all, stays below.
+    all, stays below. Turns are dealt by blocks of BLOCK, each with copies of the three turns before it, so that a text is
+    moved about once and a long conversation needs no place of its own.
     """
     own = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    later = own.where("conv_id is not null and turn is not null").select("conv_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"), "turn", "text", "role")
-    before = later.groupBy("conv_id", (F.col("turn") + F.col("k")).alias("turn")).agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("text", "role")))
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    place, block = F.col("turn").bitwiseAND(F.lit(BLOCK - 1)), F.floor(F.shiftright("turn", BLOCK.bit_length() - 1))
+    copies = F.array(F.struct(block.alias("block"), place.alias("place")), F.when(place >= BLOCK - 3, F.struct((block + 1).alias("block"), (place - BLOCK).alias("place"))))
+    dealt = own.where(known).select("*", F.inline(F.array_compact(copies)))
+    at = lambda k: Window.partitionBy("conv_id", "block").orderBy("place").rangeBetween(-k, -k)
+    near = dealt.select("conv_id", "turn", "role", "text", "place", *(F.max(c).over(at(k)).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("text", "role"))).where("place >= 0")
     digit = lambda k: F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), k, 1)
 
     def form(k: int) -> Column:
@@ -181,7 +239,7 @@ def as_mail(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     nested = F.when((digit(2) >= "8") & F.col("text2").isNotNull(), quoted(2, F.concat(third, form(2))))
     nearest = F.when(nested.isNull(), form(1)).when(digit(4) < "3", nested).otherwise(F.concat(nested, F.lit("\n"), form(1)))
     sent = F.when((digit(1) >= "3") & F.col("text1").isNotNull(), F.concat(quoted(1, nearest), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
-    return own.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", sent.alias("text"))
+    return near.select("conv_id", "turn", "role", sent.alias("text")).unionByName(own.where(~known))
 
 
 def _form_sql(k: int) -> str:

@@ -1,10 +1,13 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
-from spanwright.llm.quotes import as_mail, threads
+from spanwright.llm.common import settle
+from spanwright.llm.quotes import ORACLE, as_mail, threads
 
 INTRO = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.I)
 COLUMNS = "conv_id bigint, turn bigint, role string, text string"
@@ -147,3 +150,42 @@ def test_a_long_chain_of_replies(spark):
     rows = [(1, t, "u", (f"> says {t - 1}\n" if t else "") + f"says {t}") for t in range(700)]
     got = threads(spark.createDataFrame(rows, COLUMNS)).agg(F.max("reply_depth"), F.min("thread"), F.max("thread"), F.count("reply_to")).first()
     assert tuple(got) == (699, 0, 0, 699)
+
+
+def written(spark, root):
+    """Bytes in the session's own folders (shuffles) and in ``root`` (settled tables)."""
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return sum(os.path.getsize(os.path.join(d, x)) for top in [*folders, root] for d, _, names in os.walk(top) for x in names)
+
+
+def test_disk_stays_in_proportion_to_the_texts(spark):
+    words = [f"w{k}x{k * k}" for k in range(3000)]
+    r = random.Random(4)
+    rows = [(c, t, "u", " ".join(r.choices(words, k=80))) for c in range(500) for t in range(8)]
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    messages = settle(as_mail(spark.createDataFrame(rows, COLUMNS)), "mail")
+    before = written(spark, root)
+    assert threads(messages).where("n_quoted > 0").count() > 1000
+    assert written(spark, root) - before < 2 * sum(len(x[3]) for x in rows)
+
+
+def test_blocks_of_turns_and_few_or_many_shingles_give_the_sql(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(c, t, r.choice(["user", None]), " ".join(r.choices(words, k=r.randint(1, 40)))) for c, turns in enumerate((range(-70, 140), range(60, 68), (1, 3, 4, 63, 64, 66, 67, 128))) for t in turns]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    told = con.execute(ORACLE)
+    names = [d[0] for d in told.description]
+    want = sorted(map(repr, told.fetchall()))
+    mail = settle(as_mail(spark.createDataFrame(rows, COLUMNS)), "mail")
+    for held in (4096, 20, 0):
+        assert sorted(repr(tuple(g[n] for n in names)) for g in threads(mail, held=held).collect()) == want
+
+
+def test_mail_at_the_ends_of_the_turns(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(1, low, "u", "a"), (1, low + 1, "u", "b"), (1, high - 1, "u", "c"), (1, high, "u", "d"), (1, high, "u", "e")]
+    got = sorted((g.turn, g.text[-1]) for g in as_mail(spark.createDataFrame(rows, COLUMNS)).collect())
+    assert got == [(t, x) for _, t, _, x in rows]
