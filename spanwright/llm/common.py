@@ -55,6 +55,19 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Rows of a few numbers that are worth a task and a file of their own.
+ROWS = 1 << 16
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` short rows, in no more partitions than these need; large tables keep theirs.
+
+    Each file that an executor writes to a local file system without Hadoop's native library starts chmod processes, which
+    share the executor's memory while they start and so count it twice; hundreds of files of a few rows each are slow, too.
+    """
+    return df.coalesce(rows // ROWS + 1)
+
+
 #: Keys that more than one in HOT rows have are hot, so there are fewer than HOT of them; each is dealt to SALTS places.
 HOT, SALTS = 1000, 64
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, named, settle, small_batches
+from .common import join_hot, named, packed, settle, small_batches
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -117,11 +117,13 @@ def _hot_links(table: DataFrame, flips: DataFrame, heavy: DataFrame) -> DataFram
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = 4096) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest doc_id that links reach, itself included)."""
     each = settle(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = settle(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    rows = each.count()
+    distinct = settle(packed(each.groupBy("fp").agg(F.min("doc_id").alias("least")), rows), "distinct")
     labels = components(links(distinct.select("fp"), hot))
     grouped = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    return join_hot(each, grouped.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = join_hot(each, grouped.join(smallest, "label").select("fp", "component_id"), "fp")
+    return packed(found.select("doc_id", "fp", "component_id"), rows)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -105,3 +105,28 @@ def test_near_duplicates_with_odd_rows(spark):
 def test_keep_one_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(k, "a b c d e f", "g", "x", "y") for k in (3, 3, 4)] + [(9, "other words are here now", "g", "x", "y")], "doc_id bigint, text string, _gone string, `row` string, `a.b` string")
     assert sorted(tuple(r) for r in keep_one(docs).collect()) == [(3, "a b c d e f", "g", "x", "y"), (9, "other words are here now", "g", "x", "y")]
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    files = []
+
+    def counted(df, name):
+        out = settle(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr("spanwright.llm.components.settle", counted)
+    monkeypatch.setattr("spanwright.llm.simhash.settle", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    r = random.Random(9)
+    rows = [(k, " ".join(r.choices("abcdefgh", k=4))) for k in range(400)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert found.count() == 400 and found.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 4 and all(n == 1 for name, n in files if name in ("labels", "distinct"))
